@@ -127,8 +127,8 @@ def _hits_sql(text, terms):
     words = [t for t in terms if not is_substring_term(t)]
     phrases = [t for t in terms if is_substring_term(t)]
     return (
-        rf"list_concat(list_filter({_sql_list(words)}, t -> list_contains(string_split_regex({text}, '[^\p{{L}}\p{{N}}_]+'), t)),"
-        f" list_filter({_sql_list(phrases)}, t -> contains({text}, t)))"
+        rf"list_concat(list_filter({_sql_list(words)}, lambda t: list_contains(string_split_regex({text}, '[^\p{{L}}\p{{N}}_]+'), t)),"
+        f" list_filter({_sql_list(phrases)}, lambda t: contains({text}, t)))"
     )
 
 
