@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticegrid import settings as S
-from noticegrid.functions.text import WORD, ascii_digits, clean, let
+from noticegrid.functions.text import WORD, ascii_digits, clean, let, literal_map, literal_rows
 
 _ISO = rf"(?<!{WORD})(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?!\d)"
 _DOTTED = rf"(?<!{WORD})(\d{{1,2}})\.\s*(\d{{1,2}})\.\s*(\d{{4}})(?!{WORD})"
@@ -28,12 +28,9 @@ _YEAR_FIRST = rf"(?<!{WORD})(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?!{WORD})"
 _DASHED = rf"(?<!{WORD})(\d{{1,2}})-(\d{{1,2}})-(\d{{4}})(?!{WORD})"
 
 
-def _month_literals():
+def _month_literals() -> Column:
     ordered = sorted(S.MONTH_NAMES, key=len, reverse=True)
-    return F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(S.MONTH_NAMES[name]).alias("month"))
-        for name in ordered
-    ])
+    return literal_rows([{"name": name, "month": S.MONTH_NAMES[name]} for name in ordered])
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
@@ -88,7 +85,7 @@ def _named_month(text: Column, run_date: date) -> Column:
 
 
 def _english(text: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in S.ENGLISH_MONTHS.items() for x in pair])
+    names = literal_map(S.ENGLISH_MONTHS)
 
     def named(pattern: str, month: int, day: int) -> Column:
         g = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
@@ -103,8 +100,8 @@ def _english(text: Column) -> Column:
     )
 
 
-def parse_date(c: Column, run_date: date) -> Column:
-    """The calendar date a text carries, or NULL."""
+def read_date(c: Column, run_date: date) -> Column:
+    """As :func:`parse_date` for text that is already clean; usable inside lambdas."""
     def read(text: Column) -> Column:
         value = F.coalesce(
             plausible(_parts(text, _ISO, 1, 2, 3), run_date),
@@ -115,7 +112,12 @@ def parse_date(c: Column, run_date: date) -> Column:
         )
         return F.when(text.rlike(r"\d"), value)
 
-    return let(clean(ascii_digits(c)), read)
+    return let(ascii_digits(c), read)
+
+
+def parse_date(c: Column, run_date: date) -> Column:
+    """The calendar date a text carries, or NULL."""
+    return read_date(clean(ascii_digits(c)), run_date)
 
 
 def days_left(closing: Column, run_date: date) -> Column:

@@ -43,6 +43,35 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def quoted(value) -> str:
+    """A value as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(quoted(v) for v in value)})"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def literals(values) -> Column:
+    """Constant array, parsed as one literal instead of one call per element."""
+    return F.expr(quoted(list(values)))
+
+
+def literal_rows(rows: list[dict]) -> Column:
+    """Constant array of structs."""
+    return F.expr(quoted_rows(rows))
+
+
+def quoted_rows(rows: list[dict]) -> str:
+    one = ("named_struct(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in r.items()) + ")" for r in rows)
+    return f"array({', '.join(one)})"
+
+
+def literal_map(table: dict) -> Column:
+    """Constant map."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -153,7 +182,7 @@ def is_substring_term(term: str) -> bool:
 
 def contains_any(c: Column, terms) -> Column:
     """Whether any term occurs as a substring."""
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: c.contains(t))
+    return F.exists(literals(terms), lambda t: c.contains(t))
 
 
 def term_hits(c: Column, lexicon) -> Column:
@@ -171,7 +200,7 @@ def term_hits(c: Column, lexicon) -> Column:
             found = F.regexp_extract_all(text, F.lit("(" + word_pattern(words) + ")"), F.lit(1))
             parts.append(F.array_distinct(found))
         if phrases:
-            parts.append(F.filter(F.array(*[F.lit(t) for t in phrases]), lambda t: text.contains(t)))
+            parts.append(F.filter(literals(phrases), lambda t: text.contains(t)))
         return F.concat(*parts) if parts else F.array().cast("array<string>")
 
     return let(F.lower(clean(c)), hits)
@@ -213,15 +242,15 @@ def sector(c: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """Label with the most lexicon substrings; the first declared label wins a tie."""
     lexicon = lexicon or S.SECTOR_LEXICON
 
+    ranked = literal_rows([
+        {"label": label, "rank": -rank, "terms": list(terms)}
+        for rank, (label, terms) in enumerate(lexicon.items())
+    ])
+
     def best(text: Column) -> Column:
-        scored = F.array(*[
-            F.struct(
-                F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: text.contains(t))).alias("n"),
-                F.lit(-rank).alias("rank"),
-                F.lit(label).alias("label"),
-            )
-            for rank, (label, terms) in enumerate(lexicon.items())
-        ])
+        scored = F.transform(ranked, lambda s: F.struct(
+            F.size(F.filter(s["terms"], lambda t: text.contains(t))).alias("n"), s["rank"], s["label"],
+        ))
         return let(F.array_max(scored), lambda top: F.when(top["n"] > 0, top["label"]).otherwise(S.UNCLASSIFIED))
 
     return let(F.lower(c), best)
