@@ -14,12 +14,15 @@ from pyspark.sql.types import StringType
 from noticegrid import settings as S
 
 WORD = r"[\p{L}\p{N}_]"
-_SPACE = r"[\s\u001C-\u001F\u0085\p{Z}]+"
-# Text made only of these characters is unchanged by NFKC, so it never leaves the JVM.
-_NFKC_STABLE = (
-    r"^[\x00-\x7F¡-§©«¬®°±¶·»¿-ı"
-    r"Ĵ-ľŁ-ňŊ-žء-غف-ي٠-٩"
-    r"۰-۹‐‒-‖‘-‟†-•€]*$"
+_ODD_SPACE = r"\t-\r\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Whitespace runs that are not already one plain space.
+_RUN = rf" ?[{_ODD_SPACE}][ {_ODD_SPACE}]*|  [ {_ODD_SPACE}]*"
+# A character NFKC could change: not ASCII, and in none of the ranges known to be stable.
+# Text without one never leaves the JVM; the first test rejects ASCII at once.
+_NFKC_UNSTABLE = (
+    "[\\x{80}-\\x{10FFFF}&&[^À-ı¡-§©«¬®°±¶·»¿"
+    "Ĵ-ľŁ-ňŊ-žء-غف-ي٠-٩"
+    "۰-۹‐‒-‖‘-‟†-•€]]"
 )
 _DIGITS_FROM = "".join(chr(0x0660 + i) for i in range(10)) + "".join(chr(0x06F0 + i) for i in range(10))
 _ARABIC = r"[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"
@@ -91,22 +94,29 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, _DIGITS_FROM, "0123456789" * 2)
 
 
+def _tidy(text: str) -> str:
+    text = unicodedata.normalize("NFKC", text).replace("\u200f", "").replace("\u200e", "")
+    return " ".join(text.split())
+
+
 @F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def _clean_rare(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else _tidy(v))
 
 
 @F.pandas_udf(StringType())
-def _entities_nfkc(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None if v is None else unicodedata.normalize("NFKC", html.unescape(v))
-    )
+def _unescape_rare(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else _tidy(html.unescape(v)))
 
 
 def collapse(c: Column) -> Column:
     """Drop direction marks, collapse whitespace, trim; NULL becomes the empty string."""
-    marks = F.regexp_replace(text_or_empty(c), "[‎‏]", "")
-    return F.trim(F.regexp_replace(marks, _SPACE, " "))
+    def tidy(t: Column) -> Column:
+        marked = t.contains("\u200e") | t.contains("\u200f")
+        bare = F.when(marked, F.translate(t, "\u200e\u200f", "")).otherwise(t)
+        return F.trim(F.regexp_replace(bare, _RUN, " "))
+
+    return let(text_or_empty(c), tidy)
 
 
 def clean(c: Column) -> Column:
@@ -114,15 +124,15 @@ def clean(c: Column) -> Column:
 
     Only values that NFKC could change are sent to Python.
     """
-    unstable = F.when(~c.rlike(_NFKC_STABLE), c)
-    return collapse(F.coalesce(_nfkc(unstable), c))
+    unstable = F.when(c.rlike(_NFKC_UNSTABLE), c)
+    return F.coalesce(_clean_rare(unstable), collapse(c))
 
 
 def _without_tags(c: Column) -> Column:
     """Tags as spaces, then entities and NFKC; Python sees only values that need it."""
     bare = F.regexp_replace(c, _ANY_TAG, " ")
-    needs_python = let(bare, lambda t: F.when(t.contains("&") | ~t.rlike(_NFKC_STABLE), t))
-    return collapse(F.coalesce(_entities_nfkc(needs_python), bare))
+    needs_python = let(bare, lambda t: F.when(t.contains("&") | t.rlike(_NFKC_UNSTABLE), t))
+    return F.coalesce(_unescape_rare(needs_python), collapse(bare))
 
 
 def strip_markup(c: Column) -> Column:
@@ -185,35 +195,43 @@ def contains_any(c: Column, terms) -> Column:
     return F.exists(literals(terms), lambda t: c.contains(t))
 
 
-def term_hits(c: Column, lexicon) -> Column:
-    """Distinct lexicon terms present in cleaned text, in no particular order.
+def _matches(text: Column, term: Column) -> Column:
+    """Whether a ``{term, pattern}`` row occurs; the pattern runs only on a substring hit."""
+    whole = term["pattern"]
+    return text.contains(term["term"]) & ((whole == "") | F.rlike(text, whole))
 
-    Whole words are collected by one pass of a single alternation; phrases by substring.
-    """
-    lowered = {t.lower(): t for t in lexicon}
-    phrases = [t for t in lowered if is_substring_term(t)]
-    words = [t for t in lowered if not is_substring_term(t)]
+
+def _term_rows(lexicon, phrases=is_substring_term) -> Column:
+    return literal_rows([
+        {"term": t, "pattern": "" if phrases(t) else word_pattern([t])}
+        for t in dict.fromkeys(t.lower() for t in lexicon)
+    ])
+
+
+def term_hits(c: Column, lexicon) -> Column:
+    """Distinct lexicon terms present in cleaned text, in lexicon order."""
+    if not lexicon:
+        return F.array().cast("array<string>")
+    rows = _term_rows(lexicon)
 
     def hits(text: Column) -> Column:
-        parts = []
-        if words:
-            found = F.regexp_extract_all(text, F.lit("(" + word_pattern(words) + ")"), F.lit(1))
-            parts.append(F.array_distinct(found))
-        if phrases:
-            parts.append(F.filter(literals(phrases), lambda t: text.contains(t)))
-        return F.concat(*parts) if parts else F.array().cast("array<string>")
+        return F.transform(F.filter(rows, lambda t: _matches(text, t)), lambda t: t["term"])
 
     return let(F.lower(clean(c)), hits)
 
 
-def mentions_country(terms: S.CountryTerms, *parts: Column, url: Column | None = None) -> Column:
+def mentions_country(
+    terms: S.CountryTerms, *parts: Column, url: Column | None = None, cleaned: bool = False
+) -> Column:
     """Whether text or link refers to the country (never NULL).
 
+    ``cleaned`` says that the parts went through :func:`clean` before.
+
     A country domain counts unless it is the tail of an e-mail address; Latin terms match
     whole words after addresses are removed; agglutinative terms match as substrings.
     """
-    cleaned = [filled(clean(p)) for p in parts]
-    blob = F.concat_ws(" ", *cleaned, *([filled(url)] if url is not None else []))
+    texts = [filled(p if cleaned else clean(p)) for p in parts]
+    blob = F.concat_ws(" ", *texts, *([filled(url)] if url is not None else []))
 
     def domain_in(candidate: Column) -> Column:
         dot = _quote(terms.tld)
@@ -226,7 +244,8 @@ def mentions_country(terms: S.CountryTerms, *parts: Column, url: Column | None =
     def matched(b: Column) -> Column:
         address = rf"[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+(?:\.[\p{{L}}\p{{N}}_-]+)+"
         without = F.when(b.contains("@"), F.regexp_replace(b, address, " ")).otherwise(b)
-        test = F.lower(without).rlike(word_pattern([t.lower() for t in terms.latin]))
+        latin = _term_rows(terms.latin, phrases=lambda t: False)
+        test = let(F.lower(without), lambda low: F.exists(latin, lambda t: _matches(low, t)))
         if terms.substrings:
             test = test | contains_any(b, terms.substrings)
         if terms.tld:

@@ -18,21 +18,23 @@ def keyword_columns(df: DataFrame, scoring: S.ScorePolicy, keywords=()) -> DataF
     if not lexicon:
         return df.withColumns({
             "keyword_hits": F.array().cast("array<string>"), "keyword_part": F.lit(0.0),
+            "n_hits": F.lit(0), "n_title_hits": F.lit(0),
         })
     title = text_or_empty(F.col("title"))
     blob = F.concat_ws(" ", title, text_or_empty(F.col("description")))
     hits = df.withColumns({
         "_hits": term_hits(blob, lexicon),
-        "_title_hits": F.size(term_hits(title, lexicon)),
+        "n_title_hits": F.size(term_hits(title, lexicon)),
         "_penalties": F.size(term_hits(blob, scoring.penalty_terms)),
     })
     density = F.least(F.size("_hits") / F.lit(float(scoring.keyword_saturation)), F.lit(1.0))
-    raw = F.lit(0.7) * density + F.lit(0.3) * F.least(F.col("_title_hits") / F.lit(2.0), F.lit(1.0))
+    raw = F.lit(0.7) * density + F.lit(0.3) * F.least(F.col("n_title_hits") / F.lit(2.0), F.lit(1.0))
     part = F.when(F.col("_penalties") > 0, raw * 0.55).otherwise(raw)
     return hits.withColumns({
+        "n_hits": F.size("_hits"),
         "keyword_part": F.greatest(F.lit(0.0), F.least(part, F.lit(1.0))),
-        "keyword_hits": F.slice(F.array_sort(F.array_distinct("_hits")), 1, scoring.keep_hits),
-    }).drop("_hits", "_title_hits", "_penalties")
+        "keyword_hits": F.slice(F.array_sort("_hits"), 1, scoring.keep_hits),
+    }).drop("_hits", "_penalties")
 
 
 def value_part(value: Column, policy: S.FilterPolicy, scoring: S.ScorePolicy) -> Column:
@@ -83,7 +85,7 @@ def score(df: DataFrame, policy: S.FilterPolicy, scoring: S.ScorePolicy, run_dat
     return scored.withColumns({
         "score": F.round(F.greatest(F.lit(0.0), F.least(total, F.lit(100.0))), 1),
         "components": components,
-    }).drop("keyword_part")
+    }).drop("keyword_part", "n_hits", "n_title_hits")
 
 
 def rank_order() -> list[Column]:

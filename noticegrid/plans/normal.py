@@ -26,7 +26,7 @@ SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS parsed,
        CAST(o_orderkey % 8 AS INTEGER) AS shape FROM orders
 UNION ALL SELECT o_orderkey, NULL, 8 FROM orders""")
 def dates_parse(spark, sf_dir):
-    orders = T.table(spark, sf_dir, "orders")
+    orders = T.heavy(spark, sf_dir, "orders")
     when = F.col("o_orderdate")
     day, year = F.dayofmonth(when).cast("string"), F.year(when).cast("string")
     shapes = [
@@ -57,7 +57,7 @@ SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS shape, round(CASE o_orderk
    WHEN 4 THEN floor(o_totalprice) * 2 * 1.27e0 WHEN 5 THEN NULL
    ELSE floor(o_totalprice) * 0.0064e0 END, 2) AS usd FROM orders""")
 def values_parse(spark, sf_dir):
-    orders = T.table(spark, sf_dir, "orders")
+    orders = T.heavy(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
     whole = F.floor(price).cast("string")
     english = F.format_number(price, 2)
@@ -120,10 +120,8 @@ SELECT id, title, url, CAST(posted_date AS VARCHAR) AS posted_date, CAST(closing
 FROM r""")
 def payload_normalise(spark, sf_dir):
     raw = payloads.worldbank(worldbank_payloads(spark, sf_dir), _NATIONS)
-    notices = normalise.build_records(raw, T.ORDERS_RUN_DATE)
-    verdicts = raw.select("reference", "verdict")
-    marked = notices.join(verdicts, "reference")
-    terms = relevance.text_match(_NATIONS)
+    marked = normalise.build_records(raw, T.ORDERS_RUN_DATE, keep=("verdict",))
+    terms = relevance.text_match(_NATIONS, cleaned=True)
     country = F.when(F.col("verdict").isNotNull(), F.regexp_extract("title", r"#\d+ (.*)\)$", 1))
     return marked.select(
         "id", "title", "url", F.col("posted_date").cast("string").alias("posted_date"),
@@ -145,7 +143,7 @@ SELECT 'fcdo-' || substr(sha256('fcdo|ocds-' || k), 1, 16) AS id, 'Works ' || k
   c_name AS contact, CASE WHEN k % 4 = 0 THEN o_orderstatus ELSE o_orderpriority END AS notice_type
 FROM o"""))
 def payload_releases(spark, sf_dir):
-    orders = T.table(spark, sf_dir, "orders")
+    orders = T.heavy(spark, sf_dir, "orders")
     customer = T.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey").cast("string")

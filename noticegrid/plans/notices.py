@@ -147,15 +147,9 @@ SELECT id, len(h) AS n_hits, len(th) AS n_title_hits,
         * CASE WHEN len(p) > 0 THEN 0.55e0 ELSE 1e0 END, 6) AS keyword_part
 FROM hits"""))
 def notice_keyword_score(spark, sf_dir):
-    from noticegrid.functions.text import term_hits
-
-    notices = T.notices_from_documents(spark, sf_dir)
-    blob = F.concat_ws(" ", "title", "description")
-    scored = score.keyword_columns(notices, CORPUS_SCORING)
+    scored = score.keyword_columns(T.notices_from_documents(spark, sf_dir), CORPUS_SCORING)
     return scored.select(
-        "id", F.size(term_hits(blob, CORPUS_SCORING.ranking_terms)).alias("n_hits"),
-        F.size(term_hits(F.col("title"), CORPUS_SCORING.ranking_terms)).alias("n_title_hits"),
-        F.array_join("keyword_hits", ",").alias("keyword_hits"),
+        "id", "n_hits", "n_title_hits", F.array_join("keyword_hits", ",").alias("keyword_hits"),
         F.round("keyword_part", 6).alias("keyword_part"),
     )
 

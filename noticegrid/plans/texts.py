@@ -25,7 +25,7 @@ SELECT doc_id, {_CLEAN} AS cleaned,
        translate(translate(CAST(doc_id AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩'), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS digits
 FROM documents""")
 def text_clean_digits(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "documents")
+    docs = T.heavy(spark, sf_dir, "documents")
     arabic = F.translate(F.col("doc_id").cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
     return docs.select(
         "doc_id", text.clean(F.col("text")).alias("cleaned"), text.ascii_digits(arabic).alias("digits")
@@ -40,7 +40,7 @@ SELECT doc_id, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters,
        'en' AS language
 FROM documents""")
 def text_language_share(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "documents")
+    docs = T.heavy(spark, sf_dir, "documents")
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     accented = F.length(F.regexp_replace("text", "[^äöüßéèêçàñóí]", ""))
     return docs.select(
@@ -55,7 +55,7 @@ SELECT doc_id, CASE WHEN length(c) <= 120 THEN c
   ELSE regexp_replace(substr(c, 1, 120), ' [^ ]*$', '') || ' …' END AS teaser
 FROM (SELECT doc_id, {_CLEAN} AS c FROM documents)""")
 def text_truncate(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 120).alias("teaser"))
+    return T.heavy(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 120).alias("teaser"))
 
 
 _UNTAGGED = (
@@ -71,7 +71,7 @@ _READABLE = (
 @query("html_to_text", f"""
 SELECT page_id, {_READABLE} AS readable, length({_READABLE}) AS n FROM pages""")
 def html_to_text(spark, sf_dir):
-    pages = T.table(spark, sf_dir, "pages")
+    pages = T.heavy(spark, sf_dir, "pages")
     shown = pages.select("page_id", text.strip_markup(F.col("html")).alias("readable"))
     return shown.withColumn("n", F.length("readable"))
 
@@ -164,7 +164,7 @@ scores AS ({_sector_sql('t')})
 SELECT doc_id, coalesce(arg_min(CASE WHEN n > 0 THEN label END, (-n, r)) FILTER (WHERE n > 0), 'Unclassified') AS sector
 FROM scores GROUP BY doc_id""")
 def sector_label(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "documents")
+    docs = T.heavy(spark, sf_dir, "documents")
     return docs.select("doc_id", text.sector(text.clean(F.col("text"))).alias("sector"))
 
 
@@ -175,5 +175,5 @@ _MARKERS = tuple(S.RESTRICTION_MARKERS) + ("that the", "de la", "nicht ein")
 SELECT doc_id, {' OR '.join(f"contains(t, '{m}')" for m in _MARKERS)} AS restricted
 FROM (SELECT doc_id, lower({_CLEAN}) AS t FROM documents)""")
 def restriction_marker(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "documents")
+    docs = T.heavy(spark, sf_dir, "documents")
     return docs.select("doc_id", text.restricted(text.clean(F.col("text")), _MARKERS).alias("restricted"))

@@ -60,3 +60,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         cut_lineage(spark.range(1))
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for per-row heavy work on an input that arrives in few splits.
+
+    A large input has more splits than the cluster has cores and is returned as it is, so
+    no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noticegrid import settings as S
 from noticegrid.functions.text import filled
+from noticegrid.session import spread
 
 ORDERS_RUN_DATE = date(1998, 6, 15)
 DOCUMENTS_RUN_DATE = date(2026, 6, 15)
@@ -21,13 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows get much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def every(key: str, n: int):
     return F.col(key) % n == 0
 
 
 def notices_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as notices; fields go missing on fixed key patterns, no row is left out."""
-    placed = table(spark, sf_dir, "orders")
+    placed = heavy(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = placed.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -61,7 +67,7 @@ def first_line(c):
 
 def notices_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notices: opening sentence as title, whole text as description."""
-    docs = table(spark, sf_dir, "documents")
+    docs = heavy(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
