@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noticegrid.session import ship_package
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,7 +28,13 @@ def query(name: str, sql: str | None = None):
     def register(build: Build) -> Build:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Query(name, build, sql)
+
+        @functools.wraps(build)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = Query(name, shipped, sql)
         return build
 
     return register
