@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticegrid import settings as S
 from noticegrid.operators import normalise, relevance, state
-from noticegrid.sources import payloads, registry
+from noticegrid.sources import feeds, payloads, registry
 from noticegrid.streaming import operators as W
 
 RUN = date(2026, 6, 15)
@@ -104,3 +104,16 @@ def test_first_per_identity(spark):
 def test_distinct_within_plan(spark):
     stream = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.col("value").cast("string").alias("id"))
     assert W.distinct_within(stream, "ts", "1 hour").isStreaming
+
+
+def test_feed_files(spark, tmp_path):
+    (tmp_path / "rss.xml").write_text(
+        "<rss><channel><item><title>Water audit</title><link>https://f.example/1</link><pubDate>Tue, 01 Sep 2026</pubDate></item>"
+        "<item><title>By guid</title><guid>https://f.example/2</guid></item><item><link>x</link></item></channel></rss>", encoding="utf-8")
+    (tmp_path / "atom.xml").write_text(
+        '<feed><entry><title>Atom one</title><link href="https://f.example/3"/><updated>2026-09-01</updated><summary>s</summary></entry></feed>',
+        encoding="utf-8")
+    rss = {r["title"]: r for r in feeds.read_rss(spark, str(tmp_path / "rss.xml")).collect()}
+    assert {t: r["url"] for t, r in rss.items()} == {"Water audit": "https://f.example/1", "By guid": "https://f.example/2"}
+    atom = feeds.read_atom(spark, str(tmp_path / "atom.xml")).first()
+    assert (atom["url"], atom["posted"], atom["description"]) == ("https://f.example/3", "2026-09-01", "s")
