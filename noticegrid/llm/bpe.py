@@ -5,8 +5,9 @@ split into pieces (contractions, letter runs, single digits, runs of the rest),
 merged as a contiguous array: the boundaries of its parts and, beside each, the rank of the merge
 with the next part. The array is scanned for the least rank (the first of equals), the boundary
 between the two parts is deleted, and the ranks to its left and right are looked up again. Pieces
-of more than ``SHORT`` symbols keep the same boundaries and ranks in a heap, with the same result in
-n log n. Results of recent words are remembered, up to ``REMEMBERED`` per worker.
+of one length are merged together, as the rows of one array. Pieces of more than ``SHORT``
+symbols keep the same boundaries and ranks in a heap, with the same result in n log n. Results
+of recent words are remembered, up to ``REMEMBERED`` per worker.
 
 Decoding joins the strings of the ids by one space, as the vocabulary defines no other decoder.
 Null text counts as empty and has no ids; rows are encoded one by one, so repeated rows repeat;
@@ -16,6 +17,7 @@ sent to the workers once.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
@@ -27,7 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-SHORT, REMEMBERED, SLICE = 128, 200_000, 256
+SHORT, REMEMBERED, SLICE = 64, 300_000, 1024
+#: Separators in Python that are none for the vocabulary.
+CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Fixed values of the vocabulary's normaliser and splitter.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = rf"[{SPACES}]"
@@ -41,20 +45,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class Words(dict):
-    """A space-free stretch of normalised text to its ids, remembered until there are too many."""
-
-    def __init__(self, code: "Vocabulary"):
-        super().__init__()
-        self.code = code
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = tuple(chain.from_iterable(map(self.code.piece, self.code.pieces(word))))
-        return ids
-
-
 class Vocabulary:
     def __init__(self, content: bytes):
         spec = json.loads(content)
@@ -62,49 +52,100 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        #: Pairs of ids as one number to the rank of their merge; and what the merge of a rank makes.
-        self.ranks: dict[int, int] = {}
-        self.made: list[int] = []
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks[self.ids[a] << 32 | self.ids[b]] = rank
-            self.made.append(self.ids[a + b])
+        merges = [(self.ids[a] << 32 | self.ids[b], self.ids[a + b]) for a, b in pairs]
+        #: A pair of ids as one number to the rank of their merge; what the merge of a rank makes.
+        self.ranks: dict[int, int] = {pair: rank for rank, (pair, _) in enumerate(merges)}
+        self.none = len(merges)
+        self.made = np.array([*(m for _, m in merges), 0], np.int64)
+        self.order = np.argsort(np.array([p for p, _ in merges], np.int64))
+        self.pairs = np.array([p for p, _ in merges], np.int64)[self.order]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = np.array([""] * (max([*self.ids.values(), *self.special.values()]) + 1), object)
         for s, i in chain(self.ids.items(), self.special.items()):
             self.strings[i] = s
-        self.letters = byte_letters()
+        letters = byte_letters()
+        #: The symbol of each byte inside a piece and at its end.
+        self.inner, self.last = [self.ids.get(x) for x in letters], [self.ids.get(x + self.end) for x in letters]
+        self.complete = None not in self.inner + self.last
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.white, self.pieces = regex.compile(WHITE + "+"), regex.compile(PIECES).findall
-        self.words = Words(self)
+        self.words: dict[str | int, list[int] | tuple[int]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def stretches(self, text: str) -> list[str | int]:
+        """The normalised text's stretches without space, and the ids of special strings."""
+        out: list[str | int] = []
         for i, part in enumerate(self.cut.split(text)):
             if i % 2:
-                ids.append(self.special[part])
+                out.append(self.special[part])
             elif part:
-                plain = self.white.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-                ids.extend(chain.from_iterable(map(self.words.__getitem__, plain.split(" "))))
-        return ids
-
-    def piece(self, piece: str) -> list[int]:
-        letters = [self.letters[b] for b in piece.encode()]
-        letters[-1] += self.end
-        symbols = [self.ids[x] for x in letters if x in self.ids]
-        return self.merged(symbols) if len(symbols) <= SHORT else self.merged_long(symbols)
-
-    def merged(self, parts: list[int]) -> list[int]:
-        none, rank_of, made = len(self.made), self.ranks.get, self.made
-        ranks = [rank_of(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < none:
-            at = ranks.index(least)
-            parts[at] = made[least]
-            del parts[at + 1], ranks[at]
-            if at < len(ranks):
-                ranks[at] = rank_of(parts[at] << 32 | parts[at + 1], none)
-            if at:
-                ranks[at - 1] = rank_of(parts[at - 1] << 32 | parts[at], none)
-        return parts
+                # A capital sigma is lower-cased alike everywhere here, unlike in Python.
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                out += [x for x in self.white.split(plain) if x] if any(c in plain for c in CONTROLS) else plain.split()
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        split = [self.stretches(t) for t in texts]
+        words = self.words
+        fresh = set(chain.from_iterable(split)).difference(words)
+        if len(words) + len(fresh) > REMEMBERED:
+            words.clear()
+            fresh = set(chain.from_iterable(split))
+        plain = [w for w in fresh if w.__class__ is str and w.isalpha()]
+        pieces = {w: self.pieces(w) for w in fresh.difference(plain) if w.__class__ is str}
+        merged = self.merge_many({*plain, *chain.from_iterable(pieces.values())})
+        words.update((w, (w,)) for w in self.special.values())
+        words.update((w, merged[w]) for w in plain)
+        words.update((w, merged[ps[0]] if len(ps) == 1 else list(chain.from_iterable(map(merged.__getitem__, ps)))) for w, ps in pieces.items())
+        return [list(chain.from_iterable(map(words.__getitem__, one))) for one in split]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_many([text])[0]
+
+    def symbols(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        found = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        return found if self.complete else [x for x in found if x is not None]
+
+    def merge_many(self, pieces: set[str]) -> dict[str, list[int]]:
+        by_length: dict[int, list[str]] = {}
+        symbols = {p: self.symbols(p) for p in pieces}
+        for p, one in symbols.items():
+            by_length.setdefault(len(one), []).append(p)
+        out = {}
+        for n, some in by_length.items():
+            rows = [symbols[p] for p in some]
+            out.update(zip(some, rows if n < 2 else map(self.merged_long, rows) if n > SHORT else self.merged(np.array(rows)), strict=True))
+        return out
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), self.none - 1)
+        return np.where(self.pairs[at] == pair, self.order[at], self.none)
+
+    def merged(self, parts: np.ndarray) -> list[list[int]]:
+        """Rows of symbols, all of one length, each merged to the end."""
+        k, n = parts.shape
+        out: list[list[int]] = [[]] * k
+        which, ranks = np.arange(k), self.rank(parts[:, :-1], parts[:, 1:])
+        while len(which):
+            n = parts.shape[1]
+            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(which), int)
+            least = ranks[np.arange(len(which)), at] if n > 1 else np.full(len(which), self.none)
+            ended = least == self.none
+            for i, row in zip(which[ended].tolist(), parts[ended].tolist(), strict=True):
+                out[i] = row
+            which, parts, ranks, at, least = (x[~ended] for x in (which, parts, ranks, at, least))
+            row = np.arange(len(which))
+            # Delete boundary at + 1: what lies right of it moves one place to the left.
+            columns = np.arange(n - 1)
+            parts = np.where(columns <= at[:, None], parts[:, :-1], parts[:, 1:])
+            parts[row, at] = self.made[least]
+            ranks = np.where(columns[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:]) if n > 2 else ranks[:, :0]
+            some = np.flatnonzero(at < n - 2)
+            ranks[some, at[some]] = self.rank(parts[some, at[some]], parts[some, at[some] + 1])
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self.rank(parts[some, at[some] - 1], parts[some, at[some]])
+        return out
 
     def merged_long(self, parts: list[int]) -> list[int]:
         """The same for a long piece: boundaries as links, ranks in a heap, stale entries passed over."""
@@ -123,7 +164,7 @@ class Vocabulary:
             if parts[i] < 0 or rank(i) != r:
                 continue
             j = after[i]
-            parts[i], parts[j] = self.made[r], -1
+            parts[i], parts[j] = int(self.made[r]), -1
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
@@ -143,6 +184,7 @@ def load(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
 
     def vocabulary() -> Vocabulary:
         if path not in made:
+            gc.disable()  # what a worker remembers is many small lists without cycles
             made[path] = Vocabulary(content.value)
         return made[path]
 
@@ -160,7 +202,7 @@ def encode(docs: DataFrame, vocabulary: Callable[[], Vocabulary]) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = vocabulary()
         for part in _slices(batches):
-            rows = [np.array(code.encode(t or ""), np.int32) for t in part.column("text").to_pylist()]
+            rows = [np.array(x, np.int32) for x in code.encode_many([t or "" for t in part.column("text").to_pylist()])]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
