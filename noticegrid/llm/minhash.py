@@ -124,10 +124,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     near = materialised(near)
     needed = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["a"]).groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+    texts = docs.join(needed, docs["doc_id"] == needed["a"]).groupBy(
+        F.col("doc_id").alias("node"), F.xxhash64("text").alias("version")).agg(F.first("text").alias("text"))
     one = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    return two.select("a", "b", "left", "right").mapInArrow(_confirmed(n, percent), "a long, b long")
+    return two.select("a", "b", "left", "right").mapInArrow(_confirmed(n, percent), "a long, b long").distinct()
 
 
 def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
