@@ -30,11 +30,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of ``edges`` (a, b) that is not itself the least."""
     now = materialised(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
+    mark = _mark(now)
     while True:
         # A forest of stars is left as it is by both steps.
         now = materialised(_small_star(_large_star(now)))
-        fresh = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == fresh:
+        before, mark = mark, _mark(now)
+        if mark == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        mark = fresh
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -9,9 +9,11 @@ makes no shared key, so such hashes are left out before keys are combined.
 Documents with equal sets are one node. Within a table key nobody is paired with everybody: members
 are compared with the least member, links that the full sets confirm are contracted to components,
 and only keys whose members lie in different components go on, with the next members as pivots
-(four times as many each round), against members of other components only. A pivot is then settled
-with its whole key and leaves it. The rounds end when no key is open, so every pair that shares
-a key is either confirmed, refuted or already connected.
+(sixteen times as many each round), against members of other components only. A pivot is then settled
+with its whole key and leaves it. From the second round on, shingles that only one open document
+has bound what two sets can have in common, and pairs that cannot reach the threshold are never
+formed. The rounds end when no key is open, so every pair that shares a key is either confirmed,
+refuted or already connected.
 
 Words are runs of other than space and \\t to \\r, after lower-casing A-Z; fewer words than a shingle
 has are one shingle; without words a document is linked with nothing. A row with null id is its
@@ -117,48 +119,72 @@ def _one_set(text: str, n: int) -> np.ndarray:
     return next(_sets(_lower([text]), n))[1][0]
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the given nodes; every text of an id that has several."""
+    return docs.join(nodes.withColumnRenamed("node", "wanted"), F.col("doc_id") == F.col("wanted")).groupBy(
+        F.col("doc_id").alias("node"), F.xxhash64("text").alias("version")).agg(F.first("text").alias("text")).select("node", "text")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    size = lambda c: sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"))
-    near = pairs.join(size("a"), "a").join(size("b"), "b").filter(
-        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    near = materialised(near)
-    needed = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["a"]).groupBy(
-        F.col("doc_id").alias("node"), F.xxhash64("text").alias("version")).agg(F.first("text").alias("text"))
-    one = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     return two.select("a", "b", "left", "right").mapInArrow(_confirmed(n, percent), "a long, b long").distinct()
 
 
+def private_counts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node and n_private: how many of its shingles no other one of ``nodes`` has."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            for at, sets in _sets(_lower(batch.column("text").to_pylist()), n):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(node[at:at + len(sets)], [len(s) for s in sets])),
+                    pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+    held = _texts(docs, nodes).mapInArrow(rows, "node long, shingle long")
+    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("n_private"))
+
+
 def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """node and component for every node that is linked with a smaller one."""
     spark = docs.sparkSession
-    open_keys = stored(table_keys(nodes), "table-keys")
-    sizes = nodes.select("node", "n_shingles")
-    found = spark.createDataFrame([], "a long, b long")
+    keys = stored(table_keys(nodes), "table-keys")
+    # Every member with its component, the size of its set and how many of its shingles are its own.
+    members = keys.join(nodes.select("node", "n_shingles"), "node").select(
+        "key", "node", F.col("node").alias("component"), "n_shingles", F.lit(0).cast("long").alias("n_private"))
     comps = spark.createDataFrame([], "node long, component long")
-    tested, pivots = found, 1
-    while open_keys.limit(1).count():
-        by = Window.partitionBy("key").orderBy("node")
+    pivots = 1
+    while True:
         if pivots == 1:
-            chosen = open_keys.groupBy("key").agg(F.min("node").alias("a"))
+            chosen = members.groupBy("key").agg(F.min_by(F.struct("node", "component", "n_shingles", "n_private"), "node").alias("p"))
         else:
-            chosen = open_keys.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= pivots).select("key", F.col("node").alias("a"))
-        named = comps.withColumnRenamed("node", "x")
-        comp = lambda rows, c: rows.join(named, rows[c] == named["x"], "left").withColumn(f"c_{c}", F.coalesce("component", F.col(c))).drop("x", "component")
-        pairs = comp(chosen, "a").join(comp(open_keys, "node"), "key").filter((F.col("node") > F.col("a")) & (F.col("c_a") != F.col("c_node")))
-        pairs = materialised(pairs.select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = materialised(confirm(pairs, docs, sizes, n, percent))
-        tested = tested.unionByName(pairs)
-        comps = graph.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
-        named = comps.withColumnRenamed("node", "x")
-        rest = open_keys.join(chosen.withColumnRenamed("a", "node"), ["key", "node"], "left_anti")
-        rest = materialised(comp(rest, "node"))
-        split = rest.groupBy("key").agg(F.min("c_node").alias("low"), F.max("c_node").alias("high")).filter("low < high").select("key")
-        open_keys = materialised(rest.join(split, "key").select("key", "node"))
-        pivots *= 4
-    return comps
+            by = Window.partitionBy("key").orderBy("node")
+            chosen = members.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= pivots).select(
+                "key", F.struct("node", "component", "n_shingles", "n_private").alias("p"))
+        # Neither set has more in common with others than what is not its own.
+        common = F.least(F.col("p.n_shingles") - F.col("p.n_private"), F.col("n_shingles") - F.col("n_private"))
+        may_link = 100 * common >= percent * (F.col("p.n_shingles") + F.col("n_shingles") - common)
+        met = chosen.withColumnRenamed("key", "k").join(
+            members, (F.col("k") == F.col("key")) & (F.col("node") > F.col("p.node")) & (F.col("component") != F.col("p.component")) & may_link)
+        pairs = materialised(met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
+        links = materialised(confirm(pairs, docs, n, percent))
+        if links.limit(1).count():
+            comps = graph.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
+        rest = members.join(chosen.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").drop("component")
+        named = rest.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+        still = named.join(split, "key", "left_semi")
+        if pivots == 1:
+            still = materialised(still)
+            private = private_counts(docs, still.select("node").distinct(), n)
+            still = still.drop("n_private").join(private, "node", "left").withColumn("n_private", F.coalesce("n_private", F.lit(0).cast("long")))
+        members = materialised(still.select(*members.columns))
+        if not members.limit(1).count():
+            return comps
+        pivots *= 16
 
 
 def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
