@@ -63,7 +63,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 def chunked(raw: bytes) -> tuple[np.ndarray, list[int]]:
     """Ends and digests of the chunks of a text."""
     ends = _ends(raw)
-    starts = [0, *ends[:-1]]
+    starts = [0, *ends][: len(ends)]
     digests = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(starts, ends, strict=True)]
     return ends, digests
 
@@ -111,7 +111,7 @@ def removed(raw: bytes, repeats) -> tuple[int, int, int, list[list[int]], bytes]
     ends, digests = chunked(raw)
     known = set(repeats or ())
     runs: list[list[int]] = []
-    for a, b, d in zip([0, *ends[:-1]], ends, digests, strict=True):
+    for a, b, d in zip([0, *ends][: len(ends)], ends, digests, strict=True):
         if d in known:
             if runs and runs[-1][1] == a:
                 runs[-1][1] = int(b)

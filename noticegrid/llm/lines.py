@@ -10,7 +10,8 @@ holds is below (mean page length) / ratio bytes: the set joins the pages as one
 the pages are shuffled once, by host, with hot hosts split by the adaptive join.
 
 Null text stays null and has no lines; a null host is a host of its own. Repeated rows count as
-pages of their own. Other columns are carried along unchanged.
+pages of their own. Other columns are carried along unchanged; those named bp_all or
+bp_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -43,14 +44,16 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, le
 def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``pages`` with the text less its boilerplate lines, and bp_all and bp_dropped, its lines before and those gone."""
     found = boilerplate(pages, host, text, ratio, least)
-    joined = pages.join(found, F.col(host).eqNullSafe(F.col("bp_host")), "left")
-    lines = F.split(F.col(text), "\n")
-    known = F.coalesce(F.col("bp_lines"), F.array().cast("array<string>"))
-    staged = joined.withColumn("bp_known", known).withColumn(
+    # The page is one value meanwhile, so that none of its columns clashes with what is added.
+    page = pages.select(F.struct(*pages.columns).alias("bp_page"))
+    joined = page.join(found, F.col("bp_page")[host].eqNullSafe(F.col("bp_host")), "left")
+    body = F.col("bp_page")[text]
+    lines = F.split(body, "\n")
+    staged = joined.withColumn("bp_known", F.coalesce(F.col("bp_lines"), F.array().cast("array<string>"))).withColumn(
         "bp_left", F.filter(lines, lambda x: ~F.array_contains(F.col("bp_known"), _key(x))))
+    kept = F.when(F.size("bp_known") == 0, body).otherwise(F.array_join("bp_left", "\n"))
     return staged.select(
-        *[F.col(c) if c != text else F.when(F.size("bp_known") == 0, F.col(text)).otherwise(F.array_join("bp_left", "\n")).alias(text)
-          for c in pages.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("bp_all"),
-        F.coalesce(F.size(lines) - F.size("bp_left"), F.lit(0)).cast("long").alias("bp_dropped"),
+        *[(kept if c == text else F.col("bp_page")[c]).alias(c) for c in pages.columns if c not in ("bp_all", "bp_dropped")],
+        F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("bp_all"),
+        F.when(body.isNull(), 0).otherwise(F.size(lines) - F.size("bp_left")).cast("long").alias("bp_dropped"),
     )

@@ -8,7 +8,7 @@ first), which is one sum per draw in the same aggregate and makes reruns agree.
 
 Null text has size 0; a null source is a source of its own, last in order. Repeated rows
 are each taken alike. A source without words has target 0 and its rows are taken 0 times. Extra
-columns are carried along by ``emit``.
+columns are carried along; those named mix_... like the ones added are replaced.
 """
 
 from __future__ import annotations
@@ -63,6 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """Every row of ``docs`` with mix_size, mix_source_size, mix_target and mix_takes (copies to take)."""
+    docs = docs.drop("mix_source", "mix_source_size", "mix_target", "mix_draw", _RATE, _TAKES)
     sized = docs.withColumn(_SIZE, n_words(F.col("text")))
     # Code-point order is the order of UTF-8 bytes, Spark's order of strings.
     sums = materialised(sized.groupBy("source").agg(F.sum(_SIZE).alias("source_size")))
