@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-SHORT, REMEMBERED, SLICE = 64, 300_000, 1024
+SHORT, REMEMBERED, SLICE = 64, 150_000, 512
 #: Separators in Python that are none for the vocabulary.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Fixed values of the vocabulary's normaliser and splitter.
@@ -69,7 +69,8 @@ class Vocabulary:
         self.complete = None not in self.inner + self.last
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.white, self.pieces = regex.compile(WHITE + "+"), regex.compile(PIECES).findall
-        self.words: dict[str | int, list[int] | tuple[int]] = {}
+        #: Words, and ids of special strings, to their ids as 32-bit numbers, which take little room.
+        self.words: dict[str | int, bytes] = {}
 
     def stretches(self, text: str) -> list[str | int]:
         """The normalised text's stretches without space, and the ids of special strings."""
@@ -83,7 +84,7 @@ class Vocabulary:
                 out += [x for x in self.white.split(plain) if x] if any(c in plain for c in CONTROLS) else plain.split()
         return out
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.stretches(t) for t in texts]
         words = self.words
         fresh = set(chain.from_iterable(split)).difference(words)
@@ -93,20 +94,20 @@ class Vocabulary:
         plain = [w for w in fresh if w.__class__ is str and w.isalpha()]
         pieces = {w: self.pieces(w) for w in fresh.difference(plain) if w.__class__ is str}
         merged = self.merge_many({*plain, *chain.from_iterable(pieces.values())})
-        words.update((w, (w,)) for w in self.special.values())
+        words.update((w, _packed([w])) for w in self.special.values())
         words.update((w, merged[w]) for w in plain)
-        words.update((w, merged[ps[0]] if len(ps) == 1 else list(chain.from_iterable(map(merged.__getitem__, ps)))) for w, ps in pieces.items())
-        return [list(chain.from_iterable(map(words.__getitem__, one))) for one in split]
+        words.update((w, b"".join(map(merged.__getitem__, ps))) for w, ps in pieces.items())
+        return [np.frombuffer(b"".join(map(words.__getitem__, one)), np.int32) for one in split]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return self.encode_many([text])[0].tolist()
 
     def symbols(self, piece: str) -> list[int]:
         raw = piece.encode()
         found = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
         return found if self.complete else [x for x in found if x is not None]
 
-    def merge_many(self, pieces: set[str]) -> dict[str, list[int]]:
+    def merge_many(self, pieces: set[str]) -> dict[str, bytes]:
         by_length: dict[int, list[str]] = {}
         symbols = {p: self.symbols(p) for p in pieces}
         for p, one in symbols.items():
@@ -114,7 +115,7 @@ class Vocabulary:
         out = {}
         for n, some in by_length.items():
             rows = [symbols[p] for p in some]
-            out.update(zip(some, rows if n < 2 else map(self.merged_long, rows) if n > SHORT else self.merged(np.array(rows)), strict=True))
+            out.update(zip(some, map(_packed, rows if n < 2 else map(self.merged_long, rows)) if n < 2 or n > SHORT else self.merged(np.array(rows)), strict=True))
         return out
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -122,18 +123,18 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, pair), self.none - 1)
         return np.where(self.pairs[at] == pair, self.order[at], self.none)
 
-    def merged(self, parts: np.ndarray) -> list[list[int]]:
+    def merged(self, parts: np.ndarray) -> list[bytes]:
         """Rows of symbols, all of one length, each merged to the end."""
         k, n = parts.shape
-        out: list[list[int]] = [[]] * k
+        out = [b""] * k
         which, ranks = np.arange(k), self.rank(parts[:, :-1], parts[:, 1:])
         while len(which):
             n = parts.shape[1]
             at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(which), int)
             least = ranks[np.arange(len(which)), at] if n > 1 else np.full(len(which), self.none)
             ended = least == self.none
-            for i, row in zip(which[ended].tolist(), parts[ended].tolist(), strict=True):
-                out[i] = row
+            for i, row in zip(which[ended].tolist(), parts[ended].astype(np.int32), strict=True):
+                out[i] = row.tobytes()
             which, parts, ranks, at, least = (x[~ended] for x in (which, parts, ranks, at, least))
             row = np.arange(len(which))
             # Delete boundary at + 1: what lies right of it moves one place to the left.
@@ -176,6 +177,10 @@ class Vocabulary:
         return " ".join(self.strings[ids])
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def load(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
     """A way for workers to get the vocabulary, made once in each."""
     with open(path, "rb") as file:
@@ -197,15 +202,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+
+
 def encode(docs: DataFrame, vocabulary: Callable[[], Vocabulary]) -> DataFrame:
     """doc_id and ids, the token ids of each whole text."""
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = vocabulary()
         for part in _slices(batches):
-            rows = [np.array(x, np.int32) for x in code.encode_many([t or "" for t in part.column("text").to_pylist()])]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+            rows = code.encode_many([t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _id_lists(rows)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids array<int>")
 
@@ -221,3 +229,15 @@ def decode(encoded: DataFrame, vocabulary: Callable[[], Vocabulary]) -> DataFram
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, vocabulary: Callable[[], Vocabulary]) -> DataFrame:
+    """doc_id, ids and decoded: ``decode`` of ``encode`` by one worker, so the ids do not change hands."""
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = vocabulary()
+        for part in _slices(batches):
+            rows = code.encode_many([t or "" for t in part.column("text").to_pylist()])
+            texts = pa.array(map(code.decode, rows), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _id_lists(rows), texts], names=["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(both, "doc_id long, ids array<int>, decoded string")

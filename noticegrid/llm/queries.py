@@ -36,7 +36,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(spark, vocabulary_path())
-    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    both = bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
