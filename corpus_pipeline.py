@@ -49,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids of the whole text and the text they decode to."""
     ship_package(spark)
     vocabulary = bpe.load(spark, vocabulary_path())
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    return bpe.round_trip(docs, vocabulary)
 
 
 STAGES = [
