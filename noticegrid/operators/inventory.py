@@ -110,7 +110,8 @@ def scarcity(units: DataFrame) -> DataFrame:
     per_project = per_area.groupBy("project_id").agg(
         F.sum("at_area").alias("total"), F.sum("left_at_area").alias("left")
     )
-    counted = units.join(per_area, ["project_id", "area"], "left").join(per_project, "project_id", "left")
+    counted = units.join(per_area.withColumnsRenamed({"project_id": "_project", "area": "_area"}), F.col("project_id").eqNullSafe(
+        F.col("_project")) & F.col("area").eqNullSafe(F.col("_area")), "left").drop("_project", "_area").join(per_project, "project_id", "left")
     label = (
         F.when(~sellable(), F.lit(None))
         .when(F.col("left") == 1, "last in project")

@@ -33,7 +33,7 @@ def keyword_columns(df: DataFrame, scoring: S.ScorePolicy, keywords=()) -> DataF
     return hits.withColumns({
         "n_hits": F.size("_hits"),
         "keyword_part": F.greatest(F.lit(0.0), F.least(part, F.lit(1.0))),
-        "keyword_hits": F.slice(F.array_sort("_hits"), 1, scoring.keep_hits),
+        "keyword_hits": F.array_sort("_hits"),
     }).drop("_hits", "_penalties")
 
 

@@ -176,7 +176,6 @@ WITH n AS (
   SELECT o_orderkey AS k, o_orderpriority AS portal, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS closing FROM orders
 ), chosen AS (
   SELECT portal, k FROM n WHERE closing IS NULL
-  QUALIFY row_number() OVER (PARTITION BY portal ORDER BY CAST(k AS VARCHAR)) <= 8
 ), d AS (
   SELECT l_orderkey AS k, max(CAST(l_shipdate AS DATE)) AS due, floor(sum(l_quantity)) AS q FROM lineitem GROUP BY 1
 )

@@ -142,7 +142,7 @@ def _hits_sql(text, terms):
          {_hits_sql('blob', CORPUS_SCORING.penalty_terms)} AS p FROM cleaned
 )
 SELECT id, len(h) AS n_hits, len(th) AS n_title_hits,
-  array_to_string(list_slice(list_sort(h), 1, 12), ',') AS keyword_hits,
+  array_to_string(list_sort(h), ',') AS keyword_hits,
   round((0.7e0 * least(len(h) / 5e0, 1e0) + 0.3e0 * least(len(th) / 2e0, 1e0))
         * CASE WHEN len(p) > 0 THEN 0.55e0 ELSE 1e0 END, 6) AS keyword_part
 FROM hits"""))

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
 
 
