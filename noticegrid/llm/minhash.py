@@ -125,15 +125,14 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("doc_id").alias("node"), F.xxhash64("text").alias("version")).agg(F.first("text").alias("text")).select("node", "text")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
     return two.select("a", "b", "left", "right").mapInArrow(_confirmed(n, percent), "a long, b long").distinct()
 
 
-def private_counts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def private_counts(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """node and n_private: how many of its shingles no other one of ``nodes`` has."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +142,7 @@ def private_counts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                     pa.array(np.repeat(node[at:at + len(sets)], [len(s) for s in sets])),
                     pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
 
-    held = _texts(docs, nodes).mapInArrow(rows, "node long, shingle long")
+    held = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(rows, "node long, shingle long")
     alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
     return alone.groupBy("node").agg(F.count(F.lit(1)).alias("n_private"))
 
@@ -152,6 +151,8 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     """node and component for every node that is linked with a smaller one."""
     spark = docs.sparkSession
     keys = stored(table_keys(nodes), "table-keys")
+    # The only pass over all documents: texts of nodes that share a key, for every round.
+    texts = stored(_texts(docs, keys.select("node").distinct()), "key-texts")
     # Every member with its component, the size of its set and how many of its shingles are its own.
     members = keys.join(nodes.select("node", "n_shingles"), "node").select(
         "key", "node", F.col("node").alias("component"), "n_shingles", F.lit(0).cast("long").alias("n_private"))
@@ -170,7 +171,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
         met = chosen.withColumnRenamed("key", "k").join(
             members, (F.col("k") == F.col("key")) & (F.col("node") > F.col("p.node")) & (F.col("component") != F.col("p.component")) & may_link)
         pairs = materialised(met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
-        links = materialised(confirm(pairs, docs, n, percent))
+        links = materialised(confirm(pairs, texts, n, percent))
         if links.limit(1).count():
             comps = graph.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
         rest = members.join(chosen.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").drop("component")
@@ -179,7 +180,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
         still = named.join(split, "key", "left_semi")
         if pivots == 1:
             still = materialised(still)
-            private = private_counts(docs, still.select("node").distinct(), n)
+            private = private_counts(texts, still.select("node").distinct(), n)
             still = still.drop("n_private").join(private, "node", "left").withColumn("n_private", F.coalesce("n_private", F.lit(0).cast("long")))
         members = materialised(still.select(*members.columns))
         if not members.limit(1).count():
