@@ -11,9 +11,12 @@ are compared with the least member, links that the full sets confirm are contrac
 and only keys whose members lie in different components go on, with the next members as pivots
 (sixteen times as many each round), against members of other components only. A pivot is then settled
 with its whole key and leaves it. From the second round on, shingles that only one open document
-has bound what two sets can have in common, and pairs that cannot reach the threshold are never
-formed. The rounds end when no key is open, so every pair that shares a key is either confirmed,
-refuted or already connected.
+has bound what two sets can have in common: of either set no more than what others share, counted in
+``BUCKETS`` buckets by hash. Pairs that cannot reach the threshold are never formed, and those with
+the fewest shingles of their own, which stand in the middle of a family, are pivots first. These
+rounds group by the hashes of the first collection alone, as each table key holds one. A member
+that could not reach the threshold with any set of its key leaves the key. The rounds end when no key
+is open, so every pair that shares a key is either confirmed, refuted or already connected.
 
 Words are runs of other than space and \\t to \\r, after lower-casing A-Z; fewer words than a shingle
 has are one shingle; without words a document is linked with nothing. A row with null id is its
@@ -33,10 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noticegrid.llm import graph
-from noticegrid.llm.common import materialised, stored, whole
+from noticegrid.llm.common import materialised, stored, whole, width
 from noticegrid.llm.shingles import mixed, shingle_set, words
 
 GROUPS, ROWS, SEED = 12, 3, 4242
+#: Buckets of a shingle profile, a power of two.
+BUCKETS = 32
+#: Parts that the members of a key are dealt to.
+SALTS = 8
 SIGNED = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
 
 
@@ -132,19 +139,48 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return two.select("a", "b", "left", "right").mapInArrow(_confirmed(n, percent), "a long, b long").distinct()
 
 
-def private_counts(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node and n_private: how many of its shingles no other one of ``nodes`` has."""
+def shared_profiles(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, profile and n_common: how many of its shingles other ones of ``nodes`` have, by bucket and in all."""
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        node = batch.column("node").to_numpy()
+        for at, several in _sets(_lower(batch.column("text").to_pylist()), n):
+            yield node[at:at + len(several)], several
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            for at, sets in _sets(_lower(batch.column("text").to_pylist()), n):
+            for node, several in sets(batch):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(node, [len(s) for s in several])), pa.array(np.concatenate(several).view(np.int64))], names=["node", "shingle"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, several in sets(batch):
+                counts = np.concatenate([np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for s in several])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(node[at:at + len(sets)], [len(s) for s in sets])),
-                    pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+                    pa.array(np.repeat(node, BUCKETS)), pa.array(np.tile(np.arange(BUCKETS), len(several))), pa.array(counts)], names=["node", "bucket", "n"])
+
+    held = texts.join(nodes, "node", "left_semi").select("node", "text")
+    alone = held.mapInArrow(rows, "node long, shingle long").groupBy("shingle").agg(
+        F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    # BUCKETS is a power of two, so that the sign of the hash does not matter.
+    less = alone.select("node", F.col("shingle").bitwiseAND(BUCKETS - 1).alias("bucket"), F.lit(-1).cast("long").alias("n"))
+    both = held.mapInArrow(sizes, "node long, bucket long, n long").unionByName(less)
+    of_bucket = both.groupBy("node", "bucket").agg(F.sum("n").cast("int").alias("n"))
+    return of_bucket.groupBy("node").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"]).alias("profile"), F.sum("n").alias("n_common"))
 
-    held = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(rows, "node long, shingle long")
-    alone = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("n_private"))
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of keys that hold more than one component."""
+    split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    return members.join(split, "key", "left_semi")
+
+
+def _able(members: DataFrame, percent: int) -> DataFrame:
+    """Members that could reach the threshold with a set as small as the least of their key."""
+    least = members.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    union = F.col("n_shingles") + F.greatest("least", "n_common") - F.col("n_common")
+    return members.join(least, "key").filter(100 * F.col("n_common") >= percent * union).drop("least")
 
 
 def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -153,36 +189,64 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     keys = stored(table_keys(nodes), "table-keys")
     # The only pass over all documents: texts of nodes that share a key, for every round.
     texts = stored(_texts(docs, keys.select("node").distinct()), "key-texts")
-    # Every member with its component, the size of its set and how many of its shingles are its own.
-    members = keys.join(nodes.select("node", "n_shingles"), "node").select(
-        "key", "node", F.col("node").alias("component"), "n_shingles", F.lit(0).cast("long").alias("n_private"))
+    # Every member with its component, the (least) size of its set and how much of it others may have.
+    sized = nodes.groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_common"))
+    members = keys.distinct().join(sized, "node").select(
+        "key", "node", F.col("node").alias("component"), "n_shingles", F.lit(0).alias("at"), F.array().cast("array<long>").alias("first"),
+        F.array().cast("array<int>").alias("profile"), "n_common")
     comps = spark.createDataFrame([], "node long, component long")
     pivots = 1
     while True:
+        # Those with the fewest shingles of their own come first: they are in the middle of their family.
+        place = F.struct((F.col("n_shingles") - F.col("n_common")).alias("own"), "node")
+        members = members.withColumn("place", place if pivots > 1 else F.struct(F.lit(0).cast("long").alias("own"), "node"))
+        pivot = F.struct("place", "node", "component", "n_shingles", "first", "profile", "n_common")
         if pivots == 1:
-            chosen = members.groupBy("key").agg(F.min_by(F.struct("node", "component", "n_shingles", "n_private"), "node").alias("p"))
+            chosen = members.groupBy("key").agg(F.min_by(pivot, "node").alias("p"))
         else:
-            by = Window.partitionBy("key").orderBy("node")
-            chosen = members.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= pivots).select(
-                "key", F.struct("node", "component", "n_shingles", "n_private").alias("p"))
-        # Neither set has more in common with others than what is not its own.
-        common = F.least(F.col("p.n_shingles") - F.col("p.n_private"), F.col("n_shingles") - F.col("n_private"))
-        may_link = 100 * common >= percent * (F.col("p.n_shingles") + F.col("n_shingles") - common)
-        met = chosen.withColumnRenamed("key", "k").join(
-            members, (F.col("k") == F.col("key")) & (F.col("node") > F.col("p.node")) & (F.col("component") != F.col("p.component")) & may_link)
+            by = Window.partitionBy("key").orderBy("place")
+            chosen = members.withColumn("row", F.row_number().over(by)).filter(F.col("row") <= pivots).select("key", pivot.alias("p"))
+        # Two sets have no more in common than what others have of either, bucket by bucket.
+        def enough(common):
+            return 100 * common >= percent * (F.col("p.n_shingles") + F.col("n_shingles") - common)
+
+        may_link = enough(F.least("p.n_common", "n_common"))
+        if pivots > 1:
+            # A pair is formed in the first of the groups that both are in.
+            before = F.zip_with(F.slice("p.first", 1, F.col("at")), F.slice("first", 1, F.col("at")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+            may_link &= ~F.exists(before, lambda same: same)
+            may_link &= enough(F.aggregate(F.zip_with("p.profile", "profile", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x))
+        one, other = chosen.withColumnRenamed("key", "k"), members.withColumn("salt", F.lit(0))
+        if pivots > 1:
+            # The members of a large key are dealt to SALTS parts, its pivots go to each.
+            one = one.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(width(spark), "k", "s")
+            other = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).repartition(width(spark), "key", "salt")
+        else:
+            one = one.withColumn("s", F.lit(0))
+        met = one.join(
+            other, (F.col("k") == F.col("key")) & (F.col("s") == F.col("salt")) & (F.col("place") > F.col("p.place")) & (F.col("component") != F.col("p.component")) & may_link)
         pairs = materialised(met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
         links = materialised(confirm(pairs, texts, n, percent))
         if links.limit(1).count():
             comps = graph.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
-        rest = members.join(chosen.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").drop("component")
+        rest = members.join(chosen.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").drop("component", "place")
         named = rest.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        still = named.join(split, "key", "left_semi")
+        still = _open(named)
         if pivots == 1:
-            still = materialised(still)
-            private = private_counts(texts, still.select("node").distinct(), n)
-            still = still.drop("n_private").join(private, "node", "left").withColumn("n_private", F.coalesce("n_private", F.lit(0).cast("long")))
-        members = materialised(still.select(*members.columns))
+            # Documents that share a table key share a hash of the first collection: fewer, wider groups meet each pair less often.
+            # Of an id with several texts no collection is kept: its pairs are formed in every group.
+            own = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).select(
+                "node", F.when(F.col("texts") == 1, F.col("first")).otherwise(F.array().cast("array<long>")).alias("first"))
+            left = still.select("node", "component", "n_shingles").distinct().join(own, "node")
+            held = nodes.join(left.select("node"), "node", "left_semi").select("node", F.posexplode("first").alias("at", "hash"))
+            still = _open(held.select(F.xxhash64("at", "hash").alias("key"), "node", "at").distinct().join(left, "node"))
+        still = materialised(still)
+        if not still.limit(1).count():
+            return comps
+        # Fewer open ones have fewer shingles in common, so that the bounds tighten from round to round.
+        shared = shared_profiles(texts, still.select("node").distinct(), n)
+        members = materialised(_open(_able(still.select("key", "node", "component", "n_shingles", "at", "first").join(shared, "node"), percent)).select(
+            "key", "node", "component", "n_shingles", "at", "first", "profile", "n_common"))
         if not members.limit(1).count():
             return comps
         pivots *= 16
