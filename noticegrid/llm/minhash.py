@@ -7,16 +7,16 @@ share a table with probability (1 - (1 - s^ROWS)^GROUPS)^2, 0.9996 at 0.8. A has
 makes no shared key, so such hashes are left out before keys are combined.
 
 Documents with equal sets are one node. Within a table key nobody is paired with everybody: members
-are compared with the least member, links that the full sets confirm are contracted to components,
-and only keys whose members lie in different components go on, with the next members as pivots
-(sixteen times as many each round), against members of other components only. A pivot is then settled
-with its whole key and leaves it. From the second round on, shingles that only one open document
-has bound what two sets can have in common: of either set no more than what others share, counted in
-``BUCKETS`` buckets by hash. Pairs that cannot reach the threshold are never formed, and those with
-the fewest shingles of their own, which stand in the middle of a family, are pivots first. These
-rounds group by the hashes of the first collection alone, as each table key holds one. A member
-that could not reach the threshold with any set of its key leaves the key. The rounds end when no key
-is open, so every pair that shares a key is either confirmed, refuted or already connected.
+are compared with the least member of the key, and links that the full sets confirm are contracted to
+components. Only keys whose other members still lie in different components stay open. Their members
+go into a second round, grouped by the hashes of the first collection alone, as each table key holds
+one; there a member is met with members of other components only, so that the largest component of a
+group is met by what is outside of it, not by itself. Shingles that only one open document has bound
+what two sets can have in common: of either set no more than what others share, counted in
+``BUCKETS`` buckets by hash. Pairs that cannot reach the threshold are never formed, and a member that
+could not reach it with any set of its group leaves the group. A group is dealt to cells of ``BLOCK``
+by ``BLOCK`` members, so that no task holds a large group. Every pair that shares a key is thus
+either confirmed, refuted or already connected.
 
 Words are runs of other than space and \\t to \\r, after lower-casing A-Z; fewer words than a shingle
 has are one shingle; without words a document is linked with nothing. A row with null id is its
@@ -33,17 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from noticegrid.llm import graph
-from noticegrid.llm.common import materialised, stored, whole, width
+from noticegrid.llm.common import materialised, stored, whole
 from noticegrid.llm.shingles import mixed, shingle_set, words
 
 GROUPS, ROWS, SEED = 12, 3, 4242
 #: Buckets of a shingle profile, a power of two.
 BUCKETS = 32
-#: Parts that the members of a key are dealt to.
-SALTS = 8
+#: Members of a group in one side of a cell.
+BLOCK = 512
 SIGNED = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
 
 
@@ -91,7 +90,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """key and node of every table key that more than one node has."""
+    """key, node and the least node of the key (pivot) of every table key that more than one node has."""
     sides = []
     for side in ("first", "second"):
         hashes = nodes.select("node", F.posexplode(side).alias("at", "hash"))
@@ -100,7 +99,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
         sides.append(held)
     pairs = sides[0].join(sides[1], "node").select("node", F.explode("first").alias("x"), "second").select("node", "x", F.explode("second").alias("y"))
     keys = pairs.select(F.xxhash64("x.at", "x.hash", "y.at", "y.hash").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     return keys.join(shared, "key")
 
 
@@ -183,73 +182,80 @@ def _able(members: DataFrame, percent: int) -> DataFrame:
     return members.join(least, "key").filter(100 * F.col("n_common") >= percent * union).drop("least")
 
 
+def _enough(common, one, other, percent: int):
+    """Whether sets of these sizes with so much in common are similar."""
+    return 100 * common >= percent * (F.col(one) + F.col(other) - common)
+
+
+def first_pairs(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a key's least node and another one whose sizes allow a link."""
+    # An id with several texts has several sizes.
+    sizes = nodes.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    pairs = keys.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")), side)
+    return pairs.filter(_enough(F.least("most_a", "most_b"), "least_a", "least_b", percent)).select("a", "b")
+
+
+def open_members(keys: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Nodes whose pairs are not all settled, in groups by the hashes of the first collection."""
+    named = keys.filter("node <> pivot").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unsettled = materialised(_open(named).select("node", "component").distinct())
+    # Of an id with several texts no collection is kept: its pairs are formed in every group.
+    held = nodes.join(unsettled, "node")
+    own = held.groupBy("node", "component").agg(
+        F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).withColumn(
+        "first", F.when(F.col("texts") == 1, F.col("first")).otherwise(F.array().cast("array<long>"))).drop("texts")
+    groups = held.select("node", F.posexplode("first").alias("at", "hash")).select(F.xxhash64("at", "hash").alias("key"), "node", "at").distinct()
+    return materialised(_open(groups.join(own, "node")))
+
+
+def later_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of a group that lie in different components and may be linked."""
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("parts")
+    ).filter("parts > 1").select(
+        F.col("key").alias("k"), "main", F.ceil(F.col("n") / BLOCK).alias("columns"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("rows"))
+    dealt = members.join(main, F.col("key") == F.col("k")).drop("k")
+
+    def cells(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        """Members in their row or column of cells, once for each cell of it."""
+        place = F.pmod(F.xxhash64("node"), F.col(own)).alias(own)
+        return side.select(
+            F.struct("node", "component", "n_shingles", "n_common", "at", "first", "profile", "main").alias(name), "key", place,
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
+
+    outside = cells(dealt.filter("component <> main"), "rows", "columns", "p")
+    every = cells(dealt, "columns", "rows", "q")
+    # Two members outside of the main component meet both ways: one of them counts.
+    apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node")))
+    # Two sets have no more in common than what others have of either, bucket by bucket.
+    may_link = _enough(F.least("p.n_common", "q.n_common"), "p.n_shingles", "q.n_shingles", percent)
+    # A pair is formed in the first of the groups that both are in.
+    before = F.zip_with(F.slice("p.first", 1, F.col("q.at")), F.slice("q.first", 1, F.col("q.at")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    buckets = F.aggregate(F.zip_with("p.profile", "q.profile", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
+    met = outside.join(every, ["key", "rows", "columns"]).filter(
+        apart & may_link & ~F.exists(before, lambda same: same) & _enough(buckets, "p.n_shingles", "q.n_shingles", percent))
+    return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def link_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """node and component for every node that is linked with a smaller one."""
-    spark = docs.sparkSession
     keys = stored(table_keys(nodes), "table-keys")
-    # The only pass over all documents: texts of nodes that share a key, for every round.
+    # The only pass over all documents: texts of nodes that share a key, for both rounds.
     texts = stored(_texts(docs, keys.select("node").distinct()), "key-texts")
-    # Every member with its component, the (least) size of its set and how much of it others may have.
-    sized = nodes.groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.max("n_shingles").alias("n_common"))
-    members = keys.distinct().join(sized, "node").select(
-        "key", "node", F.col("node").alias("component"), "n_shingles", F.lit(0).alias("at"), F.array().cast("array<long>").alias("first"),
-        F.array().cast("array<int>").alias("profile"), "n_common")
-    comps = spark.createDataFrame([], "node long, component long")
-    pivots = 1
-    while True:
-        # Those with the fewest shingles of their own come first: they are in the middle of their family.
-        place = F.struct((F.col("n_shingles") - F.col("n_common")).alias("own"), "node")
-        members = members.withColumn("place", place if pivots > 1 else F.struct(F.lit(0).cast("long").alias("own"), "node"))
-        pivot = F.struct("place", "node", "component", "n_shingles", "first", "profile", "n_common")
-        if pivots == 1:
-            chosen = members.groupBy("key").agg(F.min_by(pivot, "node").alias("p"))
-        else:
-            by = Window.partitionBy("key").orderBy("place")
-            chosen = members.withColumn("row", F.row_number().over(by)).filter(F.col("row") <= pivots).select("key", pivot.alias("p"))
-        # Two sets have no more in common than what others have of either, bucket by bucket.
-        def enough(common):
-            return 100 * common >= percent * (F.col("p.n_shingles") + F.col("n_shingles") - common)
-
-        may_link = enough(F.least("p.n_common", "n_common"))
-        if pivots > 1:
-            # A pair is formed in the first of the groups that both are in.
-            before = F.zip_with(F.slice("p.first", 1, F.col("at")), F.slice("first", 1, F.col("at")), lambda a, b: F.coalesce(a == b, F.lit(False)))
-            may_link &= ~F.exists(before, lambda same: same)
-            may_link &= enough(F.aggregate(F.zip_with("p.profile", "profile", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x))
-        one, other = chosen.withColumnRenamed("key", "k"), members.withColumn("salt", F.lit(0))
-        if pivots > 1:
-            # The members of a large key are dealt to SALTS parts, its pivots go to each.
-            one = one.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(width(spark), "k", "s")
-            other = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).repartition(width(spark), "key", "salt")
-        else:
-            one = one.withColumn("s", F.lit(0))
-        met = one.join(
-            other, (F.col("k") == F.col("key")) & (F.col("s") == F.col("salt")) & (F.col("place") > F.col("p.place")) & (F.col("component") != F.col("p.component")) & may_link)
-        pairs = materialised(met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
-        links = materialised(confirm(pairs, texts, n, percent))
-        if links.limit(1).count():
-            comps = graph.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
-        rest = members.join(chosen.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti").drop("component", "place")
-        named = rest.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        still = _open(named)
-        if pivots == 1:
-            # Documents that share a table key share a hash of the first collection: fewer, wider groups meet each pair less often.
-            # Of an id with several texts no collection is kept: its pairs are formed in every group.
-            own = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).select(
-                "node", F.when(F.col("texts") == 1, F.col("first")).otherwise(F.array().cast("array<long>")).alias("first"))
-            left = still.select("node", "component", "n_shingles").distinct().join(own, "node")
-            held = nodes.join(left.select("node"), "node", "left_semi").select("node", F.posexplode("first").alias("at", "hash"))
-            still = _open(held.select(F.xxhash64("at", "hash").alias("key"), "node", "at").distinct().join(left, "node"))
-        still = materialised(still)
-        if not still.limit(1).count():
-            return comps
-        # Fewer open ones have fewer shingles in common, so that the bounds tighten from round to round.
-        shared = shared_profiles(texts, still.select("node").distinct(), n)
-        members = materialised(_open(_able(still.select("key", "node", "component", "n_shingles", "at", "first").join(shared, "node"), percent)).select(
-            "key", "node", "component", "n_shingles", "at", "first", "profile", "n_common"))
-        if not members.limit(1).count():
-            return comps
-        pivots *= 16
+    links = materialised(confirm(first_pairs(keys, nodes, percent), texts, n, percent))
+    comps = graph.components(links)
+    still = open_members(keys, nodes, comps)
+    if not still.limit(1).count():
+        return comps
+    shared = shared_profiles(texts, still.select("node").distinct(), n)
+    members = materialised(_able(still.join(shared, "node"), percent))
+    more = materialised(confirm(later_pairs(members, percent), texts, n, percent))
+    if not more.limit(1).count():
+        return comps
+    return graph.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, n: int, percent: int = 80) -> DataFrame:
