@@ -10,8 +10,9 @@ holds is below (mean page length) / ratio bytes: the set joins the pages as one
 the pages are shuffled once, by host, with hot hosts split by the adaptive join.
 
 Null text stays null and has no lines; a null host is a host of its own. Repeated rows count as
-pages of their own. Other columns are carried along unchanged; those named bp_all or
-bp_dropped are replaced.
+pages of their own, as in the query's SQL; without ``copies`` the pages of a host that have one text count
+once, on both sides of the ratio, so a text does not become boilerplate by being copied. Other
+columns are carried along unchanged; those named bp_all or bp_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ def _key(line) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
     """One row per host that has any: bp_host and bp_lines, its boilerplate lines."""
+    if not copies:
+        pages = pages.select(host, text).distinct()
     lines = F.array_distinct(F.transform(F.split(F.col(text), "\n"), _key))
     # Empty texts and null texts are pages too: a page's own row keeps the total in the same grouping.
     every = pages.select(F.col(host).alias("bp_host"), F.explode(
@@ -41,9 +44,10 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, le
     return over.groupBy("bp_host").agg(F.collect_list("line").alias("bp_lines"))
 
 
-def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST,
+                        copies: bool = True) -> DataFrame:
     """``pages`` with the text less its boilerplate lines, and bp_all and bp_dropped, its lines before and those gone."""
-    found = boilerplate(pages, host, text, ratio, least)
+    found = boilerplate(pages, host, text, ratio, least, copies)
     # The page is one value meanwhile, so that none of its columns clashes with what is added.
     page = pages.select(F.struct(*pages.columns).alias("bp_page"))
     joined = page.join(found, F.col("bp_page")[host].eqNullSafe(F.col("bp_host")), "left")

@@ -40,3 +40,14 @@ def test_stages(spark):
     out = stages["bpe"](spark, spark.createDataFrame(mixed, docs.schema), SF).collect()
     assert len(out) == len(mixed)
     assert all(r["ids"] == library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids for r in out)
+
+
+def test_a_text_copied_to_a_third_of_a_source_keeps_its_lines(spark):
+    copied = "\n".join(f"line {i} of the copied text has words of its own" for i in range(8))
+    rows = [(i, copied if i % 3 == 0 else f"alone {i} has one two three\nunder every page", "en", "a") for i in range(60)]
+    docs = spark.createDataFrame([(d, t, x, s, len(t)) for d, t, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lined = P.drop_lines(spark, docs, SF)
+    got = {r["doc_id"]: r["text"] for r in lined.collect()}
+    assert all(got[d] == (copied if d % 3 == 0 else f"alone {d} has one two three") for d in range(60))
+    kept = [r["doc_id"] for r in P.drop_near_duplicates(spark, lined, SF).collect() if r["text"] == copied]
+    assert kept == [0]
