@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that its source repeats in other texts; n_chars follows the text."""
-    kept = lines.without_boilerplate(docs, copies=False)
+    kept = lines.without_boilerplate(docs, copies=False, long=lines.LONG)
     return kept.withColumn("n_chars", F.when(F.col("bp_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -51,3 +51,11 @@ def test_a_text_copied_to_a_third_of_a_source_keeps_its_lines(spark):
     assert all(got[d] == (copied if d % 3 == 0 else f"alone {d} has one two three") for d in range(60))
     kept = [r["doc_id"] for r in P.drop_near_duplicates(spark, lined, SF).collect() if r["text"] == copied]
     assert kept == [0]
+
+
+def test_a_long_line_on_a_twelfth_of_a_source_goes(spark):
+    often, seldom = "This long line stands under many pages of the site.", "This long line stands under a few pages of the site."
+    rows = [(i, f"alone {i}" + f"\n{often}\nYes." * (i % 12 == 0) + f"\n{seldom}" * (i % 40 == 1)) for i in range(300)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in P.drop_lines(spark, docs, SF).collect()}
+    assert got == {d: t.replace(f"\n{often}", "") for d, t in rows}
