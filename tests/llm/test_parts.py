@@ -25,6 +25,30 @@ def test_suffix_array_and_common_prefixes():
                 assert shared[b] == n
 
 
+def test_contexts_of_a_passage_that_repeats_a_gram_are_comparable():
+    rng = random.Random(8)
+    letters = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    hashed = lambda g: suffix.mixed((suffix._LETTERS[np.frombuffer(g, np.uint8)] * suffix.powers(16)[0]).sum(keepdims=True))[0]
+    met = 0
+    for _ in range(400):
+        gram = min((letters(16) for _ in range(40)), key=hashed)  # often the least one of the passage
+        passage = letters(rng.randint(0, 9)) + gram + letters(rng.randint(0, 18)) + gram + letters(rng.randint(0, 9))
+        passage += letters(50 - len(passage))
+        bodies, prints, of = [], [], []
+        for doc in range(2):
+            raw = letters(rng.randint(0, 60)) + passage + letters(rng.randint(0, 60))
+            for key, first, stop, _ in zip(*suffix.contexts(raw), strict=True):
+                bodies.append(raw[first:stop + suffix.LENGTH - 1])
+                prints.append(key)
+                of.append(doc)
+        keep = suffix.comparable(bodies, np.array(prints, np.uint64))
+        strings = [{b[i:i + 50] for i in range(len(b) - 49)} for b in bodies]
+        shared = [any(of[j] != of[i] and strings[i] & strings[j] for j in range(len(bodies))) for i in range(len(bodies))]
+        met += sum(shared)
+        assert all(k for k, s in zip(keep, shared, strict=True) if s)
+    assert met >= 800
+
+
 def test_perfect_hash_is_minimal_and_foreign_digests_are_told_apart():
     rng = np.random.default_rng(1)
     digests = rng.integers(0, 256, (5000, 32), dtype=np.uint8)
