@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.llm import bpe, chat, chunks, exact, lines, minhash, mixing, quality, suffix, topk
-from noticegrid.llm.common import materialised, read, whole
-from noticegrid.session import ship_package
+from noticegrid.llm import audit, bpe, chat, chunks, exact, lines, minhash, mixing, periodic, quality, suffix, topk, warc
+from noticegrid.llm.common import WORD, materialised, read, whole
+from noticegrid.session import scratch_folder, ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -172,6 +172,83 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are written to a new folder below the shared checkpoint folder, then read back."""
+    folder = scratch_folder(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+             first_value(page_id) OVER g AS best, row_number() OVER g AS place
+      FROM p WINDOW g AS (PARTITION BY body ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < {warc.LEAST} OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < {warc.LEAST} OR place = 1 THEN NULL ELSE best END AS refers_to
+FROM q
+"""
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents, by a hash of the id, goes on in repetitions from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    hashed = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(whole(F.col("text")), F.lit(f"({WORD})")))
+    cut = hashed.withColumn("words", words).withColumn("n", F.size("words")).withColumn(
+        "a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn(
+        "p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_periods(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(words) < {audit.SHORT}, 100 * len(list_distinct(words)) < {audit.VARIED} * len(words),
+              100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.CAPITALS} * length(text),
+              regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > least, FALSE)] AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT c.*, o.o, list_position(list_transform(o.o, lambda x: fails[x]), TRUE) AS gone FROM c, o),
+g AS (SELECT s.part, s.o, f.f AS step, o[f.f] AS filter,
+             sum(CASE WHEN gone <= f.f THEN 0 ELSE n END) FILTER (WHERE gone IS NOT NULL AND gone > 0) AS later,
+             sum(n) FILTER (WHERE coalesce(gone, 0) = 0) AS never,
+             sum(n) FILTER (WHERE gone = f.f) AS removed, sum(n) FILTER (WHERE fails[o[f.f]] AND gone < f.f AND gone > 0) AS redundant,
+             sum(n) FILTER (WHERE fails[o[f.f]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+             sum(good) FILTER (WHERE gone = f.f) AS good_lost, sum(toxic) FILTER (WHERE gone = f.f) AS toxic_lost
+      FROM s, f GROUP BY s.part, s.o, f.f)
+SELECT part, array_to_string(list_transform(o, lambda x: chr(64 + x::INT)), '') AS filter_order, step::INT AS step,
+       (coalesce(later, 0) + coalesce(never, 0))::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM g
+"""
+
+
 def _shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -182,9 +259,10 @@ def _shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     builds = (op1_quality_classifier, op2_bpe, op3_line_dedup, op4_substring_dedup, op5_chat_format, op6_exact_dedup,
-              op7_minhash_dedup, op8_mixing, op9_suffix_dedup, op10_top_k)
+              op7_minhash_dedup, op8_mixing, op9_suffix_dedup, op10_top_k, op11_warc, op12_periodic_runs, op13_filter_audit)
     return {b.__name__: _shipped(b) for b in builds}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_top_k": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_top_k": OP10_SQL,
+            "op11_warc": OP11_SQL, "op13_filter_audit": OP13_SQL}
