@@ -18,15 +18,19 @@ sent to the workers once.
 from __future__ import annotations
 
 import gc
+import hashlib
 import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 SHORT, REMEMBERED, SLICE = 64, 150_000, 512
@@ -184,22 +188,38 @@ def _packed(ids: list[int]) -> bytes:
 def load(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
     """A way for workers to get the vocabulary, made once in each."""
     with open(path, "rb") as file:
-        content = spark.sparkContext.broadcast(file.read())
-    made: dict[str, Vocabulary] = {}
+        raw = file.read()
+    return partial(_made, hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))
 
-    def vocabulary() -> Vocabulary:
-        if path not in made:
-            gc.disable()  # what a worker remembers is many small lists without cycles
-            made[path] = Vocabulary(content.value)
-        return made[path]
 
-    return vocabulary
+_MADE: dict[str, Vocabulary] = {}
+
+
+def _made(key: str, content: Broadcast) -> Vocabulary:
+    """The vocabulary of this worker; it and its remembered words outlive a task."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Vocabulary(content.value)
+    return _MADE[key]
+
+
+@contextmanager
+def _without_collection() -> Iterator[None]:
+    """What a worker remembers is many small objects without cycles; other stages of the worker go on as before."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+    with _without_collection():
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield batch.slice(at, SLICE)
 
 
 def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:

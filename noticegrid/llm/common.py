@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a worker; both hold several copies of one for each running task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a batch of long texts takes, unless the session asks for less already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions the session shuffles to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

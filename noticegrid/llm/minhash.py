@@ -43,6 +43,8 @@ GROUPS, ROWS, SEED = 12, 3, 4242
 BUCKETS = 32
 #: Members of a group in one side of a cell.
 BLOCK = 512
+#: Pairs whose texts a worker holds as strings at once.
+PAIRS = 128
 SIGNED = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
 
 
@@ -107,16 +109,16 @@ def _confirmed(n: int, percent: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
-            keep = []
-            for i in range(len(a)):
-                if left[i] != last:
-                    last, held = left[i], _one_set(left[i], n)
-                other = _one_set(right[i], n)
-                shared = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(held) + len(other) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            for at in range(0, batch.num_rows, PAIRS):
+                part, keep = batch.slice(at, PAIRS), []
+                for left, right in zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True):
+                    if left != last:
+                        last, held = left, _one_set(left, n)
+                    other = _one_set(right, n)
+                    shared = len(np.intersect1d(held, other, assume_unique=True))
+                    keep.append(100 * shared >= percent * (len(held) + len(other) - shared))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
 
     return links
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticegrid.llm import audit, bpe, chat, chunks, exact, lines, minhash, mixing, periodic, quality, suffix, topk, warc
-from noticegrid.llm.common import WORD, materialised, read, whole
+from noticegrid.llm.common import WORD, materialised, read, small_batches, whole
 from noticegrid.session import scratch_folder, ship_package
 
 VOCABULARY = "word_bpe_49k.json"
@@ -252,6 +252,7 @@ FROM g
 def _shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        small_batches(spark)
         return build(spark, sf_dir)
 
     return run
