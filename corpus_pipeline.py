@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticegrid.llm import bpe, lines, minhash, mixing, quality
-from noticegrid.llm.common import read
+from noticegrid.llm.common import read, small_batches
 from noticegrid.llm.queries import scores, vocabulary_path
 from noticegrid.session import scratch_folder, ship_package
 
@@ -21,6 +21,7 @@ SHINGLE, PERCENT = 5, 80
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the cut. Rows repeating an id share the least score of its texts."""
     ship_package(spark)
+    small_batches(spark)
     scored = scores(docs, read(spark, sf_dir, "labels"))
     bad = scored.filter(F.col("score") < quality.CUT).select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*COLUMNS)
@@ -35,6 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates by five-word shingles, the one with the least id."""
     ship_package(spark)
+    small_batches(spark)
     judged = minhash.near_duplicates(docs, n=SHINGLE, percent=PERCENT)
     gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
@@ -48,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids of the whole text and the text they decode to."""
     ship_package(spark)
+    small_batches(spark)
     vocabulary = bpe.load(spark, vocabulary_path())
     return bpe.round_trip(docs, vocabulary)
 
