@@ -88,7 +88,7 @@ def test_state_lifecycle(spark, tmp_path):
     state.report_once(tables, df, deliver, datetime(2026, 6, 2))
     assert out == [2, 2, 0] and not tables.is_first_run()
     seen = {r["id"]: r for r in tables.seen().collect()}
-    assert len(seen["a"]["title"]) == 500 and seen["a"]["last_seen"] == datetime(2026, 6, 1)
+    assert len(seen["a"]["title"]) == 600 and seen["a"]["last_seen"] == datetime(2026, 6, 1)
     tables.record(df, datetime(2026, 6, 3))
     kept = tables.seen().where("id = 'b'").first()
     assert (kept["first_seen"], kept["last_seen"]) == (datetime(2026, 6, 1), datetime(2026, 6, 3))
