@@ -50,7 +50,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound what a batch of long texts takes, unless the session asks for less already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "").removesuffix("b")
+    now = str(spark.conf.get(key)).removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
