@@ -8,7 +8,7 @@ from noticegrid import settings as S
 from noticegrid.functions import money
 from noticegrid.operators import dedupe, filters, normalise, report, score, state
 from noticegrid.plans.registry import query
-from noticegrid.plans.views import DOCUMENT_NOTICES, NOTICES, with_views
+from noticegrid.plans.views import ALIKE, DOCUMENT_NOTICES, MERGED, NOTICES, with_steps, with_views
 from noticegrid.sources import tables as T
 
 POLICY = S.FilterPolicy()
@@ -259,13 +259,15 @@ def dedupe_republication(spark, sf_dir):
     return groups.select("leader", "n", F.col("posted_date").cast("string").alias("posted_date"))
 
 
-@query("dedupe_title_pairs")
+@query("dedupe_title_pairs", with_steps(DOCUMENT_NOTICES, ALIKE, body="SELECT a, b, round(ratio, 4) AS ratio FROM alike"))
 def dedupe_title_pairs(spark, sf_dir):
     notices = T.notices_from_documents(spark, sf_dir)
     return dedupe.similar_titles(notices).select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
-@query("dedupe_clusters")
+@query("dedupe_clusters", with_steps(DOCUMENT_NOTICES, ALIKE, MERGED, body="""
+SELECT p.id, k.portal, k.title, array_to_string(k.also, ', ') AS also_on, CAST(k.posted AS VARCHAR) AS posted_date, k.n AS n_members
+FROM (SELECT unnest(kept) AS k FROM (SELECT kept FROM taken ORDER BY step DESC LIMIT 1)) JOIN placed p ON p.ord = k.ord"""))
 def dedupe_clusters(spark, sf_dir):
     scored = T.notices_from_documents(spark, sf_dir).withColumn("score", F.lit(50.0))
     result = dedupe.deduplicate(scored)

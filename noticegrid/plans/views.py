@@ -61,6 +61,64 @@ doc_notices AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 
+#: Sorted words of each title, and the ratio of every pair of them that may reach 85. The longest common subsequence is
+#: computed row by row of its table; an edit distance above the allowed one (of one-byte letters) leaves a pair out.
+ALIKE = r"""
+worded AS MATERIALIZED (
+  SELECT *, array_to_string(list_sort(string_split(lower(trim(regexp_replace(coalesce(title, ''), '[\s\p{Z}]+', ' ', 'g'))), ' ')), ' ') AS key
+  FROM doc_notices
+),
+keys AS MATERIALIZED (
+  SELECT key, regexp_replace(key, '[^\x00-\x7F]', '?', 'g') AS plain, length(key) AS n, min(portal) AS first_portal, max(portal) AS last_portal FROM worded WHERE key <> '' GROUP BY key
+),
+near AS MATERIALIZED (
+  SELECT row_number() OVER () AS pair, a.key AS a, b.key AS b, a.n AS na, b.n AS nb
+  FROM keys a JOIN keys b ON a.key < b.key AND 200 * least(a.n, b.n) >= 85 * (a.n + b.n)
+   AND NOT (a.first_portal = a.last_portal AND b.first_portal = b.last_portal AND a.first_portal = b.first_portal)
+   AND CASE WHEN 200 * least(a.n, b.n) >= 85 * (a.n + b.n) THEN 100 * levenshtein(a.plain, b.plain) <= 15 * (a.n + b.n) ELSE false END
+),
+common AS (
+  SELECT pair, 0 AS i, unnest(range(1, nb + 1)) AS j, 0 AS lcs FROM near
+  UNION ALL
+  SELECT pair, i + 1, j, max(step) OVER (PARTITION BY pair ORDER BY j)
+  FROM (SELECT c.pair, i, j, greatest(lcs, CASE WHEN a[i + 1] = b[j] THEN coalesce(lag(lcs) OVER (PARTITION BY c.pair ORDER BY j), 0) + 1 ELSE 0 END) AS step
+        FROM common c JOIN near USING (pair) WHERE i < na)
+),
+alike AS MATERIALIZED (
+  SELECT a, b, 200e0 * lcs / (na + nb) AS ratio FROM near JOIN common USING (pair)
+  WHERE i = na AND j = nb AND 200 * lcs >= 85 * (na + nb)
+)"""
+
+#: The sequential loop: one notice per step, in order, against the list of those kept so far.
+MERGED = """
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY coalesce(title, ''), id) AS ord FROM worded
+),
+matching AS MATERIALIZED (
+  SELECT p.ord, list(q.ord) AS ords FROM placed p JOIN placed q ON p.portal <> q.portal AND q.ord < p.ord AND p.key <> ''
+    AND (p.key = q.key OR (least(p.key, q.key), greatest(p.key, q.key)) IN (SELECT (a, b) FROM alike))
+  GROUP BY p.ord
+),
+taken AS (
+  SELECT 0::BIGINT AS step, CAST([] AS STRUCT(ord BIGINT, portal VARCHAR, title VARCHAR, url VARCHAR, language VARCHAR, description VARCHAR,
+    eligibility VARCHAR, notice_type VARCHAR, posted DATE, also VARCHAR[], n BIGINT)[]) AS kept
+  UNION ALL
+  SELECT step + 1, CASE WHEN hit IS NULL
+    THEN list_append(kept, {'ord': ord, 'portal': portal, 'title': title, 'url': url, 'language': language, 'description': md5(description),
+      'eligibility': eligibility, 'notice_type': notice_type, 'posted': posted_date, 'also': CAST([] AS VARCHAR[]), 'n': 1::BIGINT})
+    ELSE list_transform(kept, lambda k: CASE WHEN k.ord <> hit THEN k ELSE {'ord': k.ord, 'portal': k.portal, 'title': k.title, 'url': k.url,
+      'language': k.language, 'description': coalesce(k.description, md5(description)), 'eligibility': coalesce(k.eligibility, eligibility),
+      'notice_type': coalesce(k.notice_type, notice_type),
+      'posted': CASE WHEN k.portal = portal THEN greatest(k.posted, posted_date) ELSE coalesce(k.posted, posted_date) END,
+      'also': CASE WHEN k.portal = portal OR list_contains(k.also, portal) THEN k.also ELSE list_append(k.also, portal) END, 'n': k.n + 1} END) END
+  FROM (
+    SELECT step, kept, p.*, list_min(list_transform(list_filter(kept, lambda k: k.url = p.url OR coalesce(list_contains(s.ords, k.ord), false) OR (
+        k.portal = p.portal AND k.title IS NOT DISTINCT FROM p.title AND k.language IS NOT DISTINCT FROM p.language
+        AND k.posted IS NOT NULL AND p.posted_date IS NOT NULL AND k.description IS NOT DISTINCT FROM md5(p.description)
+        AND k.eligibility IS NOT DISTINCT FROM p.eligibility AND k.notice_type IS NOT DISTINCT FROM p.notice_type)), lambda k: k.ord)) AS hit
+    FROM taken JOIN placed p ON p.ord = step + 1 LEFT JOIN matching s ON s.ord = p.ord)
+)"""
+
 UNITS = """
 units AS (
   SELECT p_brand || '-' || p_partkey AS id, p_brand AS project_id,
@@ -107,3 +165,8 @@ health AS (
 
 def with_views(*views: str, body: str) -> str:
     return "WITH " + ",".join(views) + "\n" + body
+
+
+def with_steps(*views: str, body: str) -> str:
+    """The same where a view goes on from its own rows."""
+    return "WITH RECURSIVE " + ",".join(views) + "\n" + body
