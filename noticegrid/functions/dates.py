@@ -12,20 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticegrid import settings as S
-from noticegrid.functions.text import WORD, ascii_digits, clean, let, literal_map, literal_rows
+from noticegrid.functions.text import WORD, ascii_digits, clean, let, literal_map, literal_rows, quoted
 
 _ISO = rf"(?<!{WORD})(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?!\d)"
 _DOTTED = rf"(?<!{WORD})(\d{{1,2}})\.\s*(\d{{1,2}})\.\s*(\d{{4}})(?!{WORD})"
 _SLASHED = rf"(?<!{WORD})(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?!{WORD})"
-_ENGLISH = "|".join(sorted(S.ENGLISH_MONTHS, key=len, reverse=True))
-_DAY_MONTH_YEAR = (
-    rf"(?i)(?<!{WORD})(\d{{1,2}})(?:st|nd|rd|th)?[\s.,/-]*(?:of\s+)?({_ENGLISH})[\s.,/-]+(\d{{4}})(?!{WORD})"
-)
-_MONTH_DAY_YEAR = (
-    rf"(?i)(?<!{WORD})({_ENGLISH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s+(\d{{4}})(?!{WORD})"
-)
-_YEAR_FIRST = rf"(?<!{WORD})(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}})(?!{WORD})"
-_DASHED = rf"(?<!{WORD})(\d{{1,2}})-(\d{{1,2}})-(\d{{4}})(?!{WORD})"
+#: A word, a number of up to four digits that is no part of anything else, or any other sign that is no separator.
+_TOKEN = rf"(?<![{WORD[1:-1]}:+])\d{{1,4}}(?:st|nd|rd|th)?(?![{WORD[1:-1]}:])|\p{{L}}+|[^\s.,/'’-]"
+#: Which components may follow each other: d one or two digits, Y four, m a month's name.
+_PATHS = ("d", "m", "Y", "dm", "md", "dd", "Ym", "Yd", "dmY", "dmd", "mdY", "mdd", "Ymd", "Ydd", "ddY", "ddd")
+#: Words between two components that are no break.
+_FILLERS = ("of", "the", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+            "mon", "tue", "tues", "wed", "thu", "thur", "thurs", "fri", "sat", "sun")
 
 
 def _month_literals() -> Column:
@@ -45,8 +43,8 @@ def plausible(value: Column, run_date: date) -> Column:
 
 
 def _parts(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    g = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-    return calendar_date(g[year - 1], g[month - 1], g[day - 1])
+    ordered = F.regexp_replace(text, rf"(?s)^.*?{pattern}.*$", f"${year}-${month}-${day}")
+    return F.when(text.rlike(pattern), ordered.try_cast("date"))
 
 
 def _day_first(text: Column, pattern: str) -> Column:
@@ -84,20 +82,48 @@ def _named_month(text: Column, run_date: date) -> Column:
     return F.get(found, F.lit(0))
 
 
-def _english(text: Column) -> Column:
-    names = literal_map(S.ENGLISH_MONTHS)
+def _free_form(text: Column, run_date: date) -> Column:
+    """The first three components that stand together and make a date, whatever their order.
+
+    Tokens are typed and folded: a filler is passed over, any other word starts anew, a component goes on where
+    ``_PATHS`` has a way. So "Mon 5 Jan 27", "12 07 2026" and "2nd of June, 2026" are dates (after a year the month
+    comes first, else the day if it can), and a text that lacks a day, a month or a year is none.
+    """
+    months, paths = literal_map(S.ENGLISH_MONTHS), quoted(list(_PATHS))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(f"({_TOKEN})"))
+    start = F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("parts"))
+
+    def step(state: Column, token: Column) -> Column:
+        digits = F.regexp_extract(token, r"^\d+", 0)
+        month = F.try_element_at(months, token)
+        kind = F.when(month.isNotNull(), "m").when(F.length(digits) == 4, "Y").when(F.length(digits).between(1, 2), "d")
+        value = F.coalesce(month, digits.try_cast("int"))
+        longer = F.concat(state["path"], kind)
+        after = F.when(F.array_contains(F.expr(paths), longer), F.struct(longer.alias("path"), F.concat(state["parts"], F.array(value)).alias("parts"))).otherwise(
+            F.struct(kind.alias("path"), F.array(value).alias("parts")))
+        kept = (F.length(state["path"]) == 3) | token.isin(*_FILLERS)
+        return F.when(kept, state).when(kind.isNull(), start).otherwise(after)
+
+    def resolve(state: Column) -> Column:
+        path = state["path"]
+        x, y, z = (F.get(state["parts"], F.lit(i)) for i in range(3))
+        when = lambda year, month, day: F.concat_ws("-", F.lpad(full_year(year).cast("string"), 4, "0"), month.cast("string"), day.cast("string"))
+        year_first = when(x, y, z)
+        day_first = F.when((x > 12) | (y <= 12), when(z, y, x)).otherwise(when(z, x, y))
+        read = (
+            F.when(path.isin("dmY", "dmd"), F.when(x > 31, when(x, y, z)).otherwise(when(z, y, x)))
+            .when(path.isin("mdY", "mdd"), F.when(y > 31, when(y, x, z)).otherwise(when(z, x, y)))
+            .when(path == "Ymd", when(x, y, z)).when(path == "Ydd", year_first)
+            .when(path == "ddY", day_first).when(path == "ddd", F.when(x > 31, year_first).otherwise(day_first))
+        )
+        return read.try_cast("date")
 
-    def named(pattern: str, month: int, day: int) -> Column:
-        g = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-        number = F.try_element_at(names, F.lower(g[month - 1])).cast("string")
-        return calendar_date(g[2], F.coalesce(number, F.lit("")), g[day - 1])
+    def full_year(year: Column) -> Column:
+        near = year + run_date.year // 100 * 100
+        turned = F.when(near >= run_date.year + 50, near - 100).when(near < run_date.year - 50, near + 100).otherwise(near)
+        return F.when(year < 100, turned).otherwise(year)
 
-    return F.coalesce(
-        named(_DAY_MONTH_YEAR, 2, 1),
-        named(_MONTH_DAY_YEAR, 1, 2),
-        _parts(text, _YEAR_FIRST, 1, 2, 3),
-        _day_first(text, _DASHED),
-    )
+    return let(F.aggregate(tokens, start, step), resolve)
 
 
 def read_date(c: Column, run_date: date) -> Column:
@@ -108,7 +134,7 @@ def read_date(c: Column, run_date: date) -> Column:
             _named_month(text, run_date),
             plausible(_parts(text, _DOTTED, 3, 2, 1), run_date),
             plausible(_day_first(text, _SLASHED), run_date),
-            plausible(_english(text), run_date),
+            plausible(_free_form(text, run_date), run_date),
         )
         return F.when(text.rlike(r"\d"), value)
 

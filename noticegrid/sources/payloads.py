@@ -1,17 +1,19 @@
 """Landed API payloads to candidate rows.
 
 A payload table has one row per landed response with its text in ``payload``. Responses
-arrive in several shapes, so items are read as maps from field name to JSON text and every
-field is looked up under all its spellings.
+arrive in several shapes; an item is parsed once for all spellings of its fields, nested values as
+JSON text.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticegrid import settings as S
-from noticegrid.functions.text import filled, let
+from noticegrid.functions.text import filled
 from noticegrid.operators.normalise import compose_title, unwrap, value_phrase
 from noticegrid.operators.relevance import code_verdict, field_verdict, title_prefix_verdict
 
@@ -45,6 +47,17 @@ ITEM_KEYS = {
     "samgov": ("opportunitiesData", "results", "data"),
     "fcdo": ("releases",),
 }
+# Fields of the other sources, and paths within them.
+FIELDS = {
+    "ted": ("publication-number", "ND", "links", "notice-title", "title", "place-of-performance-country-lot",
+            "place-of-performance-country", "buyer-country", "country", "publication-date", "deadline-receipt-tender-date-lot",
+            "deadline", "total-value", "description-lot", "description", "notice-type", "buyer-name"),
+    "samgov": ("placeOfPerformance", "pointOfContact", "title", "uiLink", "link", "postedDate", "responseDeadLine",
+               "responseDeadline", "award", "description", "type", "baseType", "noticeId", "solicitationNumber"),
+    "fcdo": ("tender", "parties", "tag", "title", "ocid", "date", "buyer"),
+}
+TED_LINKS = ("html", "pdf", "xml", "self")
+TED_PLACES = ("place-of-performance-country-lot", "place-of-performance-country", "buyer-country", "country")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +67,11 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _texts(names) -> str:
+    """A schema that reads the named fields, nested ones as JSON text."""
+    return ", ".join(f"`{n}` string" for n in names)
+
+
 def _as_items(json: Column) -> Column:
     """Objects of a list, or of the values of a keyed object, as JSON texts."""
     listed = F.from_json(json, "array<string>")
@@ -62,24 +80,26 @@ def _as_items(json: Column) -> Column:
     return F.filter(either, lambda x: x.startswith("{"))
 
 
-def items(payloads: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per item: ``item`` as ``map<string,string>``.
+def items(payloads: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    """One row per item: ``item`` holds the fields of these ``names``, each item parsed once.
 
-    The first of ``keys`` holding a list or an object counts; a bare list is taken as is.
+    The first of ``keys`` holding a list or an object counts; a bare list is taken as is. A field without
+    content is null.
     """
     text = F.trim("payload")
-    under = F.coalesce(*[
-        F.nullif(F.get_json_object(text, f"$.{k}"), F.lit("")) for k in keys
-    ])
-    source = F.when(text.startswith("["), text).otherwise(under)
     rest = [c for c in payloads.columns if c != "payload"]
-    texts = payloads.select(*rest, F.posexplode(let(source, _as_items)).alias("item_no", "json"))
-    return texts.withColumn("item", F.from_json("json", "map<string,string>")).drop("json")
+    top = payloads.select(*rest, text.alias("text"), F.from_json(text, _texts(keys)).alias("top"))
+    under = F.coalesce(*[F.nullif(F.col("top").getField(k), F.lit("")) for k in keys])
+    listed = top.select(*rest, F.when(F.col("text").startswith("["), F.col("text")).otherwise(under).alias("list"))
+    texts = listed.select(*rest, F.posexplode(_as_items(F.col("list"))).alias("item_no", "json"))
+    fields = tuple(dict.fromkeys(names))
+    parsed = texts.select(*rest, "item_no", F.from_json("json", _texts(fields)).alias("item"))
+    filled_in = [F.expr(f"if(trim(item.`{n}`) IN ('', '[]', '{{}}'), null, item.`{n}`) AS `{n}`") for n in fields]
+    return parsed.select(*rest, "item_no", F.struct(*filled_in).alias("item"))
 
 
 def field(name: str, item: str = "item") -> Column:
-    value = F.try_element_at(F.col(item), F.lit(name))
-    return F.when(~F.trim(value).isin("", "[]", "{}"), value)
+    return F.col(item).getField(name)
 
 
 def pick(names, item: str = "item") -> Column:
@@ -92,7 +112,7 @@ def _inner(value: Column, path: str) -> Column:
 
 
 def worldbank(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) -> DataFrame:
-    rows = items(payloads, ITEM_KEYS["worldbank"])
+    rows = items(payloads, ITEM_KEYS["worldbank"], tuple(chain.from_iterable(SPELLINGS.values())))
     links = [F.when(F.lower(F.trim(field(n))).startswith("http"), F.trim(field(n))) for n in SPELLINGS["link"]]
     ids = [F.when(F.trim(field(n)).rlike(NOTICE_ID), F.upper(F.trim(field(n)))) for n in SPELLINGS["notice_id"]]
     country = pick(SPELLINGS["country"])
@@ -110,12 +130,11 @@ def worldbank(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) ->
 
 
 def ted(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) -> DataFrame:
-    rows = items(payloads, ITEM_KEYS["ted"])
+    rows = items(payloads, ITEM_KEYS["ted"], FIELDS["ted"])
     number = F.coalesce(unwrap(field("publication-number")), unwrap(field("ND")))
-    links = [unwrap(_inner(field("links"), f"$.{k}")) for k in ("html", "pdf", "xml", "self")]
+    links = [unwrap(_inner(field("links"), f"$.{k}")) for k in TED_LINKS]
     title = F.coalesce(unwrap(field("notice-title")), unwrap(field("title")))
-    places = ("place-of-performance-country-lot", "place-of-performance-country", "buyer-country", "country")
-    verdict = F.coalesce(code_verdict(terms, *[unwrap(field(p)) for p in places]),
+    verdict = F.coalesce(code_verdict(terms, *[unwrap(field(p)) for p in TED_PLACES]),
                          title_prefix_verdict(terms, unwrap(field("notice-title"))))
     return rows.select(
         F.lit("ted").alias("portal"), title.alias("title"),
@@ -131,7 +150,7 @@ def ted(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) -> DataFr
 
 def samgov(payloads: DataFrame) -> DataFrame:
     """An empty result is legal here and gives an empty table."""
-    rows = items(payloads, ITEM_KEYS["samgov"])
+    rows = items(payloads, ITEM_KEYS["samgov"], FIELDS["samgov"])
     place = field("placeOfPerformance")
     country = F.coalesce(_inner(place, "$.country.name"), _inner(place, "$.country"))
     first = "$[0]"
@@ -152,7 +171,7 @@ def samgov(payloads: DataFrame) -> DataFrame:
 
 def fcdo(payloads: DataFrame) -> DataFrame:
     """Release packages: one row per release."""
-    rows = items(payloads, ITEM_KEYS["fcdo"])
+    rows = items(payloads, ITEM_KEYS["fcdo"], FIELDS["fcdo"])
     tender = field("tender")
     currency = _inner(tender, "$.value.currency")
     documents = F.from_json(_inner(tender, "$.documents"), "array<struct<url: string>>")

@@ -32,6 +32,10 @@ def test_dates(spark):
         ("30-Sep-2026 19:00 (GMT +3.00)", d(2026, 9, 30)), ("October 15, 2026", d(2026, 10, 15)),
         ("Deadline: 12/10/2026", d(2026, 10, 12)), ("Tue, 15 Sep 2026 10:00:00 GMT", d(2026, 9, 15)),
         ("March 3, 2026", d(2026, 3, 3)), ("5 May 2026", d(2026, 5, 5)), ("30.02.2026", None),
+        ("Mon 5 Jan 27", d(2027, 1, 5)), ("12 07 2026", d(2026, 7, 12)), ("07 23 2026", d(2026, 7, 23)), ("2nd of June, 2026", d(2026, 6, 2)),
+        ("Sept 3rd '26", d(2026, 9, 3)), ("closes on Friday, Jan 5, 27 at 10:30", d(2027, 1, 5)), ("27 Jan 5", d(2005, 1, 27)), ("2026 Jan 5", d(2026, 1, 5)),
+        ("31-12-26", d(2026, 12, 31)), ("1 2 27", d(2027, 2, 1)), ("12 07", None), ("Jan 2027", None), ("5 Jan", None), ("5 offices in Jan 2027", None),
+        ("32 13 2026", None), ("Lot 3 of 7, ref 2026", None), ("phone 06 555 1234", None),
         ("Expires in 48 days", None), ("WFP-SDN-00220", None), ("15 May 1900", None), ("prose", None), ("", None), (None, None),
     ], lambda c: dates.parse_date(c, RUN))
 
