@@ -92,14 +92,26 @@ def items(payloads: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) ->
     under = F.coalesce(*[F.nullif(F.col("top").getField(k), F.lit("")) for k in keys])
     listed = top.select(*rest, F.when(F.col("text").startswith("["), F.col("text")).otherwise(under).alias("list"))
     texts = listed.select(*rest, F.posexplode(_as_items(F.col("list"))).alias("item_no", "json"))
-    fields = tuple(dict.fromkeys(names))
-    parsed = texts.select(*rest, "item_no", F.from_json("json", _texts(fields)).alias("item"))
-    filled_in = [F.expr(f"if(trim(item.`{n}`) IN ('', '[]', '{{}}'), null, item.`{n}`) AS `{n}`") for n in fields]
+    # Names that differ by case alone cannot stand in one schema.
+    groups: list[dict[str, str]] = []
+    for n in dict.fromkeys(names):
+        group = next((g for g in groups if n.lower() not in g), None)
+        if group is None:
+            groups.append(group := {})
+        group[n.lower()] = n
+    parsed = texts.select(*rest, "item_no", *[F.from_json("json", _texts(g.values())).alias(f"read_{i}") for i, g in enumerate(groups)])
+    filled_in = [F.expr(f"if(trim(read_{i}.`{n}`) IN ('', '[]', '{{}}'), null, read_{i}.`{n}`)").alias(_slot(n))
+                 for i, g in enumerate(groups) for n in g.values()]
     return parsed.select(*rest, "item_no", F.struct(*filled_in).alias("item"))
 
 
+def _slot(name: str) -> str:
+    """A column for a field, as names of fields may differ by case alone."""
+    return "f_" + name.encode().hex()
+
+
 def field(name: str, item: str = "item") -> Column:
-    return F.col(item).getField(name)
+    return F.col(item).getField(_slot(name))
 
 
 def pick(names, item: str = "item") -> Column:
