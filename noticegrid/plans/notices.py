@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time, timedelta
+
 from pyspark.sql import functions as F
 
 from noticegrid import settings as S
@@ -9,6 +11,7 @@ from noticegrid.functions import money
 from noticegrid.operators import dedupe, filters, normalise, report, score, state
 from noticegrid.plans.registry import query
 from noticegrid.plans.views import ALIKE, DOCUMENT_NOTICES, MERGED, NOTICES, with_steps, with_views
+from noticegrid.session import cut_lineage, scratch_folder
 from noticegrid.sources import tables as T
 
 POLICY = S.FilterPolicy()
@@ -235,6 +238,27 @@ def run_log(spark, sf_dir):
     return report.run_summary(judged, kept, fresh)
 
 
+@query("state_batches", with_views(NOTICES, body="""
+SELECT id, strftime(run_date + CAST(CAST(id AS BIGINT) % 5 AS INTEGER), '%Y-%m-%d') AS first_seen,
+       strftime(run_date + CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 9 ELSE CAST(CAST(id AS BIGINT) % 5 AS INTEGER) END, '%Y-%m-%d') AS last_seen,
+       title, 1 AS delivered
+FROM scored"""))
+def state_batches(spark, sf_dir):
+    """Five overlapping batches, one of them replayed after the others, then a run that sees some notices again."""
+    folder = scratch_folder(spark, "state")
+    tables = state.StateTables(spark, f"{folder}/state", compact_every=2, buckets=4)
+    key = F.col("id").cast("bigint")
+    notices_ = cut_lineage(scored_orders(spark, sf_dir).select("id", "portal", "title", "url", "posted_date", "closing_date"))
+    for k in (0, 1, 2, 3, 4, 4):
+        state.report_once(
+            tables, notices_.where(key % 5 <= k), lambda fresh: fresh.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"),  # noqa: B023
+            datetime.combine(RUN + timedelta(days=k), time()), version=k + 1).unpersist()
+    tables.record(notices_.where(key % 7 == 0), datetime.combine(RUN + timedelta(days=9), time()))
+    delivered = spark.read.parquet(f"{folder}/out").groupBy("id").agg(F.count("*").alias("delivered"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return tables.seen().join(delivered, "id").select("id", day("first_seen"), day("last_seen"), "title", "delivered")
+
+
 # ----------------------------------------------------------------------------- dedupe
 
 

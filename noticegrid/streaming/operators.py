@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticegrid.operators.health import is_broken, status
-from noticegrid.operators.normalise import first_per_identity
-from noticegrid.operators.state import StateTables, only_new
+from noticegrid.operators import state
+from noticegrid.operators.state import StateTables
 
 
 def report_once(
@@ -26,18 +26,12 @@ def report_once(
 ) -> StreamingQuery:
     """Deliver each id once over the life of the state.
 
-    State follows delivery. The snapshot version comes from the batch number, so a
-    replayed batch reads the state before itself and rewrites the same snapshot;
+    State follows delivery. The version comes from the batch number, so a
+    replayed batch reads the state before itself and writes the same delta again;
     ``deliver`` must overwrite by batch number in the same way.
     """
     def one_batch(batch: DataFrame, number: int) -> None:
-        version = number + 1
-        fresh = only_new(first_per_identity(batch, *order), tables.seen(before=version)).persist()
-        try:
-            deliver(fresh, number)
-            tables.record(fresh, run_at, version)
-        finally:
-            fresh.unpersist()
+        state.report_once(tables, batch, lambda fresh: deliver(fresh, number), run_at, version=number + 1, order=order).unpersist()
 
     return notices.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})

@@ -99,6 +99,40 @@ def test_state_lifecycle(spark, tmp_path):
     assert tables.run_log().first()["reported"] == 2
 
 
+def test_sections_keep_each_row_once(spark):
+    rows = [("a", 9.0, "x"), ("a", 9.0, "y"), ("a", 9.0, "y"), ("a", 9.0, "y"), ("b", 1.0, "z")]
+    df = spark.createDataFrame(rows, "id string, score double, title string").withColumn("closing_date", F.lit(None).cast("date"))
+    for inline in range(6):
+        got = report.sections(df, inline).collect()
+        assert sorted((r["id"], r["score"], r["title"]) for r in got) == sorted(rows)
+        assert sorted(r["position"] for r in got if r["section"] == "inline") == list(range(1, min(inline, 5) + 1))
+
+
+def test_state_log(spark, tmp_path):
+    tables = state.StateTables(spark, str(tmp_path), compact_every=3)
+    names = [f"n{i}" for i in range(30)]
+    sizes, delivered = [], {}
+    for day in range(1, 12):
+        ids = names[day: day + 9]
+        df = notices(spark, **{i: {} for i in ids}).unionByName(notices(spark, **{ids[0]: {}}))
+        out = []
+        state.report_once(tables, df, lambda fresh: out.extend(r["id"] for r in fresh.collect()), datetime(2026, 6, day), version=day)  # noqa: B023
+        assert len(out) == len(set(out))
+        delivered |= {i: day for i in out if i not in delivered}
+        if day % 4 == 0:  # a replay of the last batch delivers and writes the same
+            again = []
+            state.report_once(tables, df, lambda fresh: again.extend(r["id"] for r in fresh.collect()), datetime(2026, 6, day), version=day)  # noqa: B023
+            assert sorted(again) == sorted(out)
+        sizes.append(len(tables._versions("delta")))
+    assert delivered == {i: 1 if k <= 9 else k - 8 for k, i in enumerate(names[:20]) if k}
+    seen = {r["id"]: (r["first_seen"].day, r["last_seen"].day) for r in tables.seen().collect()}
+    assert seen == {i: (d, d) for i, d in delivered.items()}
+    assert max(sizes) <= 6 and len(tables._versions("base")) == 2
+    members = notices(spark, zz={}, n5={})
+    state.report_once(tables, notices(spark, z={}), lambda fresh: None, datetime(2026, 7, 1), members=lambda fresh: fresh.unionByName(members.select(fresh.columns)))
+    assert {r["id"]: r["first_seen"].month for r in tables.seen().where("id in ('z', 'zz', 'n5')").collect()} == {"z": 7, "zz": 7, "n5": 6}
+
+
 def test_health_and_status(spark):
     rows = [("a", None, 10), ("b", "bot wall", None), ("c", "not configured - key", None), ("d", "no listing published - x", None)]
     outcomes = spark.createDataFrame(rows, "key string, reason string, scanned bigint")
