@@ -362,10 +362,37 @@ def gaps(company: DataFrame) -> DataFrame:
     )).alias("gaps"))
 
 
+#: Buckets of a table's digest.
+DIGEST_BUCKETS = 4096
+
+
+def table_digest(df: DataFrame, *by: str) -> DataFrame:
+    """Per bucket of ``by`` (all columns if none) the number of rows and two sums of row hashes, in no order."""
+    # As JSON, so that any column type counts and a null differs from a missing text.
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    hashed = df.select(bucket_of_row(df, *by).alias("bucket"), F.xxhash64(row).alias("one"), F.xxhash64(F.lit("two"), row).alias("two"))
+    exact = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    return hashed.groupBy("bucket").agg(F.count("*").alias("n"), exact("one"), exact("two"))
+
+
+def bucket_of_row(df: DataFrame, *by: str) -> Column:
+    return F.pmod(F.xxhash64(F.to_json(F.struct(*(by or df.columns)), {"ignoreNullFields": "false"})), F.lit(DIGEST_BUCKETS)).cast("int")
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
+    """``bucket`` of those in which two tables of the same columns differ; ``DIGEST_BUCKETS`` at most."""
+    a, b = table_digest(left, *by), table_digest(right, *by).toDF("b", "n_b", "one_b", "two_b")
+    same = F.col("n").eqNullSafe(F.col("n_b")) & F.col("one").eqNullSafe(F.col("one_b")) & F.col("two").eqNullSafe(F.col("two_b"))
+    return a.join(b, F.col("bucket") == F.col("b"), "full_outer").where(~same).select(F.coalesce("bucket", "b").alias("bucket"))
+
+
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Units added, removed, or with another price or status."""
-    b = before.select("id", F.col("price").alias("old_price"), F.col("status").alias("old_status"), F.lit(1).alias("b"))
-    a = after.select("id", "price", "status", F.lit(1).alias("a"))
+    """Units added, removed, or with another price or status. Only buckets of ids whose digests differ are joined."""
+    before, after = before.select("id", "price", "status"), after.select("id", "price", "status")
+    moving = F.broadcast(differing_buckets(before, after, "id"))
+    part = lambda df: df.withColumn("bucket", bucket_of_row(df, "id")).join(moving, "bucket", "left_semi").drop("bucket")
+    b = part(before).select("id", F.col("price").alias("old_price"), F.col("status").alias("old_status"), F.lit(1).alias("b"))
+    a = part(after).select("id", "price", "status", F.lit(1).alias("a"))
     moved = ~F.col("price").eqNullSafe(F.col("old_price")) | ~F.col("status").eqNullSafe(F.col("old_status"))
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(moved, "moved")
     return b.join(a, "id", "full_outer").withColumn("change", change).where(F.col("change").isNotNull()).select(
@@ -373,6 +400,6 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def same_rows(left: DataFrame, right: DataFrame) -> bool:
-    """Whether two tables hold the same rows, counting repeats."""
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: ``same``, whether two tables hold the same rows, counting repeats, in any order."""
+    return differing_buckets(left, right).agg((F.count("*") == 0).alias("same"))

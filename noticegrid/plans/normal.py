@@ -171,6 +171,87 @@ def payload_releases(spark, sf_dir):
     )
 
 
+_ORDERS = """
+o AS (
+  SELECT o_orderkey AS k, c_name, c_custkey, n_name, CAST(o_orderdate AS DATE) AS due, 1000 * floor(o_totalprice) AS price, o_orderstatus, o_orderpriority
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+)"""
+
+
+def _placed_orders(spark, sf_dir):
+    customer = T.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nation = T.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    joined = T.heavy(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({
+        "k": F.col("o_orderkey").cast("string"), "price": (1000 * F.floor("o_totalprice")).cast("string")})
+
+
+@query("payload_ted", with_views(_ORDERS, body="""
+SELECT 'ted-' || substr(sha256('ted|' || k || '-1998'), 1, 16) AS id,
+  CASE WHEN k % 5 = 0 THEN 'Austria – Licence ' || k WHEN k % 2 = 0 THEN 'Works ' || k || ' for ' || c_name ELSE 'Travaux ' || k END AS title,
+  CASE WHEN k % 4 <> 0 THEN 'https://t.example/' || k ELSE 'https://ted.europa.eu/en/notice/-/detail/' || k || '-1998' END AS url,
+  CAST(due AS VARCHAR) AS posted_date, CASE WHEN k % 7 <> 0 THEN CAST(due AS VARCHAR) END AS closing_date,
+  CASE WHEN k % 11 <> 0 THEN round(price * 1.09e0, 2) END AS estimated_value_usd, c_name AS contact, o_orderstatus AS notice_type,
+  CASE WHEN k % 3 = 0 THEN true WHEN k % 3 = 1 OR k % 5 = 0 THEN false END AS verdict
+FROM o"""))
+def payload_ted(spark, sf_dir):
+    """Orders as notices with multilingual fields, one landed response each."""
+    number = F.concat("k", F.lit("-1998"))
+    zoned = F.date_format("o_orderdate", "yyyy-MM-dd'+02:00'")
+    several = F.create_map(F.lit("eng"), F.array(F.concat(F.lit("Works "), "k"), F.concat(F.lit("for "), "c_name")), F.lit("fra"), F.array(F.lit("Travaux")))
+    title = F.when(T.every("o_orderkey", 5), F.concat(F.lit("Austria – Licence "), "k")).when(
+        T.every("o_orderkey", 2), F.to_json(several)).otherwise(F.to_json(F.create_map(F.lit("fra"), F.array(F.concat(F.lit("Travaux "), "k")))))
+    country = F.when(T.every("o_orderkey", 3), F.array(F.lit("JOR"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("FRA")))
+    rest = F.struct(
+        number.alias("publication-number"), country.alias("buyer-country"), zoned.alias("publication-date"),
+        F.when(~T.every("o_orderkey", 7), F.array(zoned)).alias("deadline-receipt-tender-date-lot"),
+        F.when(~T.every("o_orderkey", 11), F.create_map(F.lit("eng"), F.array("price"))).alias("total-value"),
+        F.create_map(F.lit("eng"), F.array("c_name")).alias("buyer-name"), F.col("o_orderstatus").alias("notice-type"),
+        F.when(~T.every("o_orderkey", 4), F.create_map(F.lit("html"), F.create_map(F.lit("ENG"), F.concat(F.lit("https://t.example/"), "k")))).alias("links"))
+    quoted = F.when(title.startswith("{"), title).otherwise(F.concat(F.lit('"'), title, F.lit('"')))
+    body = F.concat(F.lit('{"notices": [{"notice-title": '), quoted, F.lit(", "), F.expr("substring(body, 2)"), F.lit("]}"))
+    landed = _placed_orders(spark, sf_dir).withColumn("body", F.to_json(rest)).select(body.alias("payload"))
+    built = normalise.build_records(payloads.ted(landed), T.ORDERS_RUN_DATE, keep=("verdict",))
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return built.select("id", "title", "url", day("posted_date"), day("closing_date"), "estimated_value_usd", "contact", "notice_type", "verdict")
+
+
+@query("payload_samgov", with_views(_ORDERS, body="""
+SELECT 'samgov-' || substr(sha256('samgov|s' || k), 1, 16) AS id, 'Repair ' || k AS title, 'https://s.example/' || k AS url,
+  CAST(due AS VARCHAR) AS posted_date, CASE WHEN k % 7 <> 0 THEN CAST(due AS VARCHAR) END AS closing_date,
+  CASE WHEN k % 11 <> 0 THEN CAST(price AS DOUBLE) END AS estimated_value_usd,
+  c_name || CASE WHEN k % 2 = 0 THEN ' c' || c_custkey || '@x.example' ELSE '' END AS contact,
+  CASE WHEN k % 3 = 0 THEN n_name ELSE 'Text ' || k END AS description, o_orderstatus AS notice_type
+FROM o WHERE k % 10 <> 0"""))
+def payload_samgov(spark, sf_dir):
+    """Orders as opportunities; each tenth response is empty, which is legal."""
+    deadline = F.when(~T.every("o_orderkey", 7), F.date_format("o_orderdate", "yyyy-MM-dd'T17:00:00-04:00'"))
+    name = F.when(T.every("o_orderkey", 2), F.lit("responseDeadLine")).otherwise(F.lit("responseDeadline"))
+    one = F.struct(
+        F.concat(F.lit("s"), "k").alias("noticeId"), F.concat(F.lit("Repair "), "k").alias("title"), F.concat(F.lit("https://s.example/"), "k").alias("uiLink"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("postedDate"), F.col("o_orderstatus").alias("type"),
+        F.when(~T.every("o_orderkey", 3), F.concat(F.lit("Text "), "k")).alias("description"),
+        F.when(~T.every("o_orderkey", 11), F.struct(F.col("price").alias("amount"))).alias("award"),
+        F.array(F.struct(F.col("c_name").alias("fullName"), F.when(T.every("o_orderkey", 2), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.example"))).alias("email"))).alias("pointOfContact"),
+        F.when(T.every("o_orderkey", 3), F.struct(F.struct(F.col("n_name").alias("name")).alias("country"))).alias("placeOfPerformance"))
+    due = F.when(deadline.isNull(), "").otherwise(F.concat(F.lit('"'), name, F.lit('": "'), deadline, F.lit('", ')))
+    full = F.concat(F.lit('{"opportunitiesData": [{'), due, F.expr("substring(body, 2)"), F.lit("]}"))
+    landed = _placed_orders(spark, sf_dir).withColumn("body", F.to_json(one)).select(
+        F.when(T.every("o_orderkey", 10), '{"opportunitiesData": []}').otherwise(full).alias("payload"))
+    built = normalise.build_records(payloads.samgov(landed), T.ORDERS_RUN_DATE)
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return built.select("id", "title", "url", day("posted_date"), day("closing_date"), "estimated_value_usd", "contact", "description", "notice_type")
+
+
+@query("relevance_multi", with_views(_ORDERS, body="""
+SELECT CAST(k AS VARCHAR) AS id FROM o WHERE k % 6 = 0 OR regexp_matches(lower(n_name), '(^|[^a-z])(france|jordan|japan|germany)([^a-z]|$)')"""))
+def relevance_multi(spark, sf_dir):
+    notices = _placed_orders(spark, sf_dir).select(
+        F.col("k").alias("id"), F.concat_ws(" ", "c_name", "n_name").alias("title"), F.concat(F.lit("https://m.example/"), "k").alias("url"),
+        F.when(T.every("o_orderkey", 6), "To Multiple  Destinations").alias("description"), F.lit(None).cast("string").alias("eligibility"))
+    return relevance.relevant_or_multi(notices, _NATIONS).select("id")
+
+
 @query("detail_enrich", """
 WITH n AS (
   SELECT o_orderkey AS k, o_orderpriority AS portal, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS closing FROM orders
