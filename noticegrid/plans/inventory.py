@@ -391,11 +391,10 @@ SELECT project_id || '/' || plan AS entity, 'plan area' AS rule,
   'shared by ' || count(DISTINCT area) || ' areas from ' || min(area) || ' to ' || max(area) AS message
 FROM f WHERE plan IS NOT NULL GROUP BY project_id, plan HAVING count(DISTINCT area) > 1
 UNION ALL SELECT id, 'selling', 'is marked selling but no unit is available' FROM projects p
-WHERE status = 'selling' AND NOT EXISTS (SELECT 1 FROM f WHERE f.project_id = p.id AND f.status = 'available' AND f.type = 'roof')"""))
+WHERE status = 'selling' AND NOT EXISTS (SELECT 1 FROM f WHERE f.project_id = p.id AND f.status = 'available')"""))
 def quality_dependencies(spark, sf_dir):
     f = _faulty(units(spark, sf_dir))
-    roofs = f.where(F.col("type") == "roof")
-    return Q.plan_area_dependency(f).unionByName(Q.selling_without_units(projects(spark, sf_dir), roofs))
+    return Q.plan_area_dependency(f).unionByName(Q.selling_without_units(projects(spark, sf_dir), f))
 
 
 @query("quality_images", sql("""

@@ -81,7 +81,7 @@ _DOMAIN = r"""(regexp_matches(t, '(?i)://[^/\s]*\.com(?:[/:\s]|$)')
      OR (regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])[\p{L}\p{N}_-]+\.com([^\p{L}\p{N}_]|$)')
          AND NOT contains(right(string_split(t, '.com')[1], 40), '@')))"""
 _MATCH = rf"""
-, blobs AS (SELECT id, portal, {_CLEAN.replace('text', "title || ' ' || description")} AS t0, url FROM doc_notices),
+, blobs AS (SELECT id, portal, {_CLEAN.replace('text', "concat_ws(' ', title, description, eligibility)")} AS t0, url FROM doc_notices),
   joined AS (SELECT id, portal, t0 || ' ' || url AS t FROM blobs),
   matched AS (SELECT id, portal, {_DOMAIN}
      OR regexp_matches(lower(regexp_replace(t, '{W[:-1]}.+-]+@{W[:-1]}-]+(?:\.{W[:-1]}-]+)+', ' ', 'g')),
@@ -92,14 +92,14 @@ _MATCH = rf"""
 @query("relevance_match", with_views(DOCUMENT_NOTICES, body=_MATCH + """
 SELECT id, hit FROM matched"""))
 def relevance_match(spark, sf_dir):
-    notices = T.notices_from_documents(spark, sf_dir).withColumn("eligibility", F.lit(None).cast("string"))
+    notices = T.notices_from_documents(spark, sf_dir)
     return notices.select("id", relevance.text_match(CORPUS_COUNTRY).alias("hit"))
 
 
 @query("relevance_scanned", with_views(DOCUMENT_NOTICES, body=_MATCH + """
 SELECT portal, count(*) AS scanned, count(*) FILTER (WHERE hit) AS relevant FROM matched GROUP BY portal"""))
 def relevance_scanned(spark, sf_dir):
-    notices = T.notices_from_documents(spark, sf_dir).withColumn("eligibility", F.lit(None).cast("string"))
+    notices = T.notices_from_documents(spark, sf_dir)
     scanned = relevance.scanned_counts(notices)
     kept = relevance.relevant(notices, CORPUS_COUNTRY).groupBy("portal").agg(F.count("*").alias("relevant"))
     return scanned.join(kept, "portal", "left").select(

@@ -6,14 +6,12 @@ the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticegrid.operators.health import is_broken, status
 from noticegrid.operators import state
@@ -55,37 +53,18 @@ def health_by_window(outcomes: DataFrame, event_time: str = "ts", width: str = "
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", "scanned", "broken")
 
 
-EXPIRED = "id string, closing timestamp"
-_OPEN = "closing_ms bigint"
-
-
-def _expire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    closing = state.get[0] if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"id": [key[0]], "closing": [pd.Timestamp(closing, unit="ms")]})
-        return
-    for batch in batches:
-        latest = batch["closing"].max()
-        if pd.notna(latest):
-            closing = max(closing or 0, latest.value // 1_000_000)
-    if closing is None:
-        return
-    state.update((closing,))
-    # A timer must lie ahead of the watermark; a notice already past is due at once.
-    state.setTimeoutTimestamp(max(closing, state.getCurrentWatermarkMs() + 1))
-
-
 def expiry(notices: DataFrame, event_time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Emit a notice when the stream's time passes its (latest) deadline.
 
-    ``notices`` has ``id``, ``closing`` (timestamp) and the event time. State is one number
-    per open notice and goes away when it closes.
+    ``notices`` has ``id``, ``closing`` (timestamp) and the event time; rows without a deadline never expire. A
+    notice is a session from each event to the deadline that the event names, so a later event within it
+    prolongs it and the session's end is the timer. State is one row per open notice and goes away when
+    it closes; an event after that opens the notice again. A deadline already past is due at once.
     """
-    return (
-        notices.withWatermark(event_time, delay).select("id", "closing", event_time).groupBy("id")
-        .applyInPandasWithState(_expire, EXPIRED, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    left = F.greatest(F.unix_micros("closing") - F.unix_micros(event_time), F.lit(1))
+    gap = F.concat(left.cast("string"), F.lit(" microseconds"))
+    dated = notices.withWatermark(event_time, delay).where(F.col("closing").isNotNull())
+    return dated.groupBy(F.session_window(event_time, gap).alias("s"), "id").agg(F.max("closing").alias("closing")).select("id", "closing")
 
 
 def silence(events: DataFrame, event_time: str = "ts", gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
@@ -98,7 +77,7 @@ def silence(events: DataFrame, event_time: str = "ts", gap: str = "6 hours", del
 
 
 def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
-    """Process everything available into a file sink and read the result back."""
+    """Process everything available into a file sink and read the result back; called again it goes on from there."""
     stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/data").option(
         "checkpointLocation", f"{folder}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
