@@ -18,19 +18,16 @@ sent to the workers once.
 from __future__ import annotations
 
 import gc
-import hashlib
 import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 SHORT, REMEMBERED, SLICE = 64, 150_000, 512
@@ -186,21 +183,14 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def load(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
-    """A way for workers to get the vocabulary, made once in each."""
-    with open(path, "rb") as file:
-        raw = file.read()
-    return partial(_made, hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))
-
-
-_MADE: dict[str, Vocabulary] = {}
+    """A way for workers to get the vocabulary.
 
-
-def _made(key: str, content: Broadcast) -> Vocabulary:
-    """The vocabulary of this worker; it and its remembered words outlive a task."""
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Vocabulary(content.value)
-    return _MADE[key]
+    It is made anew for each task, in a quarter of a second, and goes with it: kept in idle workers it and what
+    it remembers took a third of an executor's memory from the stages that follow.
+    """
+    with open(path, "rb") as file:
+        content = spark.sparkContext.broadcast(file.read())
+    return lambda: Vocabulary(content.value)
 
 
 @contextmanager
