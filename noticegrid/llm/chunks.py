@@ -107,22 +107,25 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed(raw: bytes, repeats) -> tuple[int, int, int, list[list[int]], bytes]:
-    """Bytes, chunks, repeated chunks, removed spans and what is left of a text."""
+    """Bytes, chunks, chunks that go, removed spans and what is left of a text.
+
+    Repeated chunks go where they make up ``LEAST`` bytes in a row or the whole text; a shorter stretch is repeated by chance.
+    """
     ends, digests = chunked(raw)
     known = set(repeats or ())
     runs: list[list[int]] = []
     for a, b, d in zip([0, *ends][: len(ends)], ends, digests, strict=True):
         if d in known:
             if runs and runs[-1][1] == a:
-                runs[-1][1] = int(b)
+                runs[-1][1:] = [int(b), runs[-1][2] + 1]
             else:
-                runs.append([int(a), int(b)])
-    spans = [r for r in runs if r[1] - r[0] >= LEAST]
+                runs.append([int(a), int(b), 1])
+    gone = [r for r in runs if r[1] - r[0] >= min(LEAST, len(raw))]
     kept, at = [], 0
-    for a, b in spans:
+    for a, b, _ in gone:
         kept.append(raw[at:a])
         at = b
-    return len(raw), len(digests), sum(d in known for d in digests), spans, b"".join([*kept, raw[at:]])
+    return len(raw), len(digests), sum(n for *_, n in gone), [r[:2] for r in gone], b"".join([*kept, raw[at:]])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,28 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in out) and len(out) == len(documents()) * 5
 
 
+def test_chunk_query_against_first_owners(spark):
+    from noticegrid.llm import chunks
+
+    cut = {d: [0, *map(int, chunks._ends((t or "").encode()))] for d, t in documents()}
+    pieces = {d: [((t or "").encode()[a:b], a, b) for a, b in zip(cut[d], cut[d][1:])] for d, t in documents()}
+    owner = {}
+    for d in sorted(pieces):
+        for piece, _, _ in pieces[d]:
+            owner.setdefault(piece, d)
+    want = {}
+    for d, t in documents():
+        raw, gone = (t or "").encode(), []
+        for piece, a, b in pieces[d]:
+            if owner[piece] < d:
+                gone = [*gone[:-1], (gone[-1][0], b, gone[-1][2] + 1)] if gone and gone[-1][1] == a else [*gone, (a, b, 1)]
+        gone = [g for g in gone if g[1] - g[0] >= min(80, len(raw))]
+        kept = bytes(x for i, x in enumerate(raw) if not any(a <= i < b for a, b, _ in gone))
+        want[d] = (len(raw), len(pieces[d]), sum(n for *_, n in gone), len(raw) - len(kept), len(gone), brute.sha(kept))
+    assert rows(spark, "op4_substring_dedup", "n_bytes n_chunks n_repeated n_removed n_spans kept_sha256") == want
+    assert any(v[2] for v in want.values())
+
+
 def test_chunks_catch_planted_passages_and_leave_the_rest(spark):
     import random
 
