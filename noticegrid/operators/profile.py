@@ -21,10 +21,8 @@ def field_anatomy(items: DataFrame, fields: str, row_no: str, limit: int | None
     per_key = pairs.groupBy("key").agg(
         F.count("*").alias("filled"), F.min_by("value", row_no).alias("sample")
     )
-    # The sample is cut for display, as the listing of a report line.
-    sample = F.substring(clean(F.col("sample")), 1, 70)
     anatomy = per_key.select(
-        "key", "filled", sample.alias("sample"),
+        "key", "filled", clean(F.col("sample")).alias("sample"),
     ).withColumn("url_like", F.col("key").rlike(URL_LIKE) | F.col("sample").startswith("http"))
     return anatomy if limit is None else anatomy.orderBy(F.desc("filled"), "key").limit(limit)
 

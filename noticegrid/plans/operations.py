@@ -49,6 +49,8 @@ SELECT total, broken, total - broken AS ok, reported,
        ELSE 'Notices - ' || reported || ' new opportunities' END AS subject,
   CASE WHEN broken > 0 THEN reported || '-opportunities-' || broken || '-of-' || total || '-portals-unavailable'
        ELSE reported || '-opportunities' END AS slug,
+  CASE WHEN broken > 0 THEN reported || ' opportunities found. ' || broken || ' of ' || total || ' portals were unavailable, so this is a partial picture.'
+       ELSE reported || ' new opportunities found. All ' || total || ' portals were read successfully.' END AS sentence,
   CASE WHEN broken >= 1 THEN broken || ' of ' || total || ' portals unavailable' END AS alert_reason
 FROM t"""
 
@@ -57,7 +59,7 @@ FROM t"""
 def run_status(spark, sf_dir):
     bought = T.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     reported = bought.agg(F.count("*").alias("reported"))
-    return H.run_status(events_health(spark, sf_dir), reported, alert_threshold=1).drop("sentence")
+    return H.run_status(events_health(spark, sf_dir), reported, alert_threshold=1)
 
 
 @query("alert_table", with_views(HEALTH, body="SELECT key, reason FROM health WHERE status = 'unavailable'"))
@@ -89,7 +91,7 @@ WITH kv AS (
   SELECT event_id, unnest(['k', 'type_url', 'value', 'blank']) AS key,
          unnest([json_extract_string(props, '$.k'), CASE WHEN event_type = 'click' THEN 'http://' || event_type END,
                  CASE WHEN user_id % 2 = 0 THEN event_type END, '']) AS value FROM events)
-SELECT key, count(*) AS filled, substr(arg_min(value, event_id), 1, 70) AS sample,
+SELECT key, count(*) AS filled, arg_min(value, event_id) AS sample,
   key = 'type_url' OR starts_with(arg_min(value, event_id), 'http') AS url_like
 FROM kv WHERE value IS NOT NULL AND value <> '' GROUP BY key""")
 def field_anatomy(spark, sf_dir):
