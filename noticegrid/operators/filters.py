@@ -36,8 +36,8 @@ def older_than(posted: Column, days: int, run_date: date) -> Column:
     return F.coalesce(F.datediff(F.lit(run_date), posted) > days, F.lit(False))
 
 
-def drop_reason(policy: S.FilterPolicy, run_date: date) -> Column:
-    """The first failing test in order, or NULL."""
+def drop_tests(policy: S.FilterPolicy, run_date: date) -> list[tuple[Column, str]]:
+    """The tests that remove a notice, in order, each with its reason."""
     closing, posted = F.col("closing_date"), F.col("posted_date")
     value = F.col("estimated_value_usd")
     tests: list[tuple[Column, str]] = []
@@ -75,7 +75,12 @@ def drop_reason(policy: S.FilterPolicy, run_date: date) -> Column:
         tests.append((F.coalesce(F.col("language") == "ar", F.lit(False)), "language excluded"))
     if policy.eligibility_mode == "exclude":
         tests.append((text_or_empty(F.col("eligibility")) != "", "eligibility restricted"))
+    return tests
+
 
+def drop_reason(policy: S.FilterPolicy, run_date: date) -> Column:
+    """The first failing test in order, or NULL."""
+    tests = drop_tests(policy, run_date)
     reason = F.when(tests[0][0], tests[0][1])
     for failed, name in tests[1:]:
         reason = reason.when(failed, name)

@@ -275,6 +275,12 @@ def published(rows: DataFrame, column: str = "published") -> DataFrame:
     return rows.where(F.coalesce(F.col(column), F.lit(True)))
 
 
+def first_entries(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """The first ``n`` entries of a list, a row each with its ``position``."""
+    rest = [c for c in rows.columns if c != column]
+    return rows.select(*rest, F.posexplode(F.slice(column, 1, n)).alias("position", "entry"))
+
+
 def pick(pair: Column, language: str) -> Column:
     """One side of a bilingual pair."""
     return pair["ar"] if language == "ar" else pair["en"]
@@ -348,12 +354,12 @@ def dashboard(projects: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def gaps(company: DataFrame) -> DataFrame:
-    """Facts nobody has supplied yet, as an ordered list."""
+def gaps(company: DataFrame, *by: str) -> DataFrame:
+    """Facts nobody has supplied yet, as an ordered list; ``by`` names columns to keep."""
     def missing(name: str) -> Column:
         return filled(F.col(name).cast("string")).isNull()
 
-    return company.select(F.array_compact(F.array(
+    return company.select(*by, F.array_compact(F.array(
         F.when(missing("founded"), "founding year"),
         F.when(missing("address_ar"), "office address"),
         F.when(missing("form_key"), "enquiry capture"),

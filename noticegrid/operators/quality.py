@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noticegrid import settings as S
 from noticegrid.functions.text import filled
+from noticegrid.session import cut_lineage
 
 ID_PATTERN = r"^[a-z0-9-]+$"
 PHONE_PATTERN = r"^[+()\d\s-]{8,20}$"
@@ -116,6 +117,63 @@ def bilingual(pairs: DataFrame) -> DataFrame:
     ])
 
 
+_EMPTY = r"^[\s\p{Z}]*$"
+
+
+def content_rules(content: DataFrame, lists: tuple[str, ...] = ("projects",)) -> DataFrame:
+    """JSON texts ``(entity, body)`` must be readable objects whose named parts are lists.
+
+    An object that repeats a name is not readable.
+    """
+    read = content.select("entity", F.try_parse_json("body").alias("node"))
+    shape = F.schema_of_variant("node")
+    is_object = shape.startswith("OBJECT")
+    part = lambda n: F.schema_of_variant(F.try_variant_get("node", f"$['{n}']", "variant"))
+    return check_rows(read, F.col("entity"), [
+        ("readable", F.col("node").isNotNull(), _said("the content cannot be read")),
+        ("object", F.col("node").isNull() | is_object, _said("the content is not an object")),
+        *[(n, ~F.coalesce(is_object, F.lit(False)) | F.coalesce(part(n).startswith("ARRAY"), F.lit(False)), _said(n, "is not a list")) for n in lists],
+    ])
+
+
+def bilingual_pairs(content: DataFrame, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """Bilingual values of JSON texts ``(entity, body)`` at any depth: ``entity, path, ar, en, has_ar, has_en``.
+
+    An object with a side in one language is a value and not looked into; ``ar`` and ``en`` are null unless text. ``roots``
+    names the top parts to walk. All texts go down one level per round, and only lists and objects go on, so
+    there are as many rounds as levels, whatever the number of texts. Unreadable texts give nothing here.
+    """
+    spark = content.sparkSession
+    side = lambda n: F.try_variant_get("node", f"$.{n}", "variant")
+    text = lambda n: F.when(F.schema_of_variant(side(n)) == "STRING", F.try_variant_get("node", f"$.{n}", "string"))
+    level = content.select("entity", F.lit("").alias("path"), F.try_parse_json("body").alias("node")).where(F.col("node").isNotNull())
+    found = None
+    while True:
+        level = cut_lineage(level.withColumns({"has_ar": side("ar").isNotNull(), "has_en": side("en").isNotNull()}))
+        either = F.col("has_ar") | F.col("has_en")
+        pairs = level.where(either).select("entity", "path", text("ar").alias("ar"), text("en").alias("en"), "has_ar", "has_en")
+        found = pairs if found is None else found.unionByName(pairs)
+        below = level.where(~either).select("entity", "path", "node").lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        if roots is not None:
+            below, roots = below.where(F.col("key").isin(list(roots))), None
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        shape = F.schema_of_variant("value")
+        level = below.where(shape.startswith("OBJECT") | shape.startswith("ARRAY")).select(
+            "entity", F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), F.col("value").alias("node"))
+        if level.isEmpty():
+            return found
+
+
+def bilingual_content(content: DataFrame, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """Values with a missing language, or with one language filled in alone, named with their path."""
+    blank = lambda c: F.col(c).rlike(_EMPTY)
+    missing = F.when(F.col("has_ar"), "en").otherwise("ar")
+    return check_rows(bilingual_pairs(content, roots), F.concat_ws(" ", "entity", "path"), [
+        ("both languages", F.col("has_ar") & F.col("has_en"), _said("bilingual text is missing", missing)),
+        ("both filled", F.coalesce(blank("ar") == blank("en"), F.lit(True)), _said("one language is filled in and the other is empty")),
+    ])
+
+
 def notes(rows: DataFrame) -> DataFrame:
     """Notes ``(entity, field, note)`` must be text without a comment terminator."""
     return check_rows(rows, F.col("entity"), [

@@ -311,6 +311,53 @@ def published_quotes(spark, sf_dir):
     return shown.select("doc_id", I.pick(pair, "ar").alias("german"), I.number(F.col("n_chars") / 2.0).alias("half"))
 
 
+@query("nested_first_entries", """
+SELECT id, position, place FROM (
+  SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS position, l_partkey AS place FROM lineitem)
+WHERE position < 3""")
+def nested_first_entries(spark, sf_dir):
+    return I.first_entries(_order_lines(spark, sf_dir), "lines", 3).select("id", "position", F.col("entry.l_partkey").alias("place"))
+
+
+def _order_lines(spark, sf_dir):
+    """Orders with their lines as a list."""
+    entry = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    return T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("lines"))
+
+
+@query("units_flattened", """
+SELECT l_orderkey || CASE WHEN l_linenumber = 5 THEN '' ELSE '-' || l_linenumber END AS id, CAST(l_orderkey AS VARCHAR) AS project_id,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0e0 END AS outdoor, CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END AS price,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS unit_ordinal FROM lineitem""")
+def units_flattened(spark, sf_dir):
+    """Orders as projects, their lines as units; one unit of some has no code."""
+    none = F.lit(None).cast("string")
+    unit = lambda u: F.struct(
+        F.when(u["l_linenumber"] != 5, u["l_linenumber"].cast("string")).alias("code"), F.lit(0).alias("floor"), none.alias("floor_label"),
+        none.alias("orientation"), u["l_quantity"].alias("area"), F.when(u["l_linenumber"] % 2 == 0, u["l_quantity"]).alias("outdoor"),
+        F.lit(1).alias("beds"), F.lit(1).alias("baths"), none.alias("type"), none.alias("plan"),
+        F.when(u["l_returnflag"] != "R", u["l_extendedprice"]).alias("price"), F.lit("available").alias("status"))
+    projects_ = _order_lines(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"), F.lit("d").alias("district"), F.col("id").alias("ordinal"), F.transform("lines", unit).alias("units"))
+    return I.flatten_projects(projects_).select("id", "project_id", "outdoor", "price", "unit_ordinal")
+
+
+@query("company_gaps", """
+WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1)
+SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 5 = 0 THEN 'founding year' END, CASE WHEN c_custkey % 7 = 0 THEN 'office address' END,
+  CASE WHEN c_custkey % 3 = 0 THEN 'enquiry capture' END, CASE WHEN coalesce(f, 0) = 0 THEN 'testimonial' END,
+  CASE WHEN coalesce(p, 0) = 0 THEN 'track record' END) AS gaps
+FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def company_gaps(spark, sf_dir):
+    counts = T.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("published_testimonials"), F.count_if(F.col("o_orderstatus") == "P").alias("stats"))
+    customer = T.table(spark, sf_dir, "customer").join(counts, F.col("c_custkey") == F.col("o_custkey"), "left")
+    companies = customer.withColumns({
+        "founded": F.when(~T.every("c_custkey", 5), 1990), "address_ar": F.when(~T.every("c_custkey", 7), "عمان").otherwise(" "),
+        "form_key": F.when(~T.every("c_custkey", 3), "key")})
+    return I.gaps(companies, "c_custkey").select("c_custkey", F.array_join("gaps", ", ").alias("gaps"))
+
+
 # ------------------------------------------------------------------------------ quality
 
 TYPES = ("ECONOMY", "STANDARD", "PROMO", "roof")
@@ -386,6 +433,53 @@ def quality_vocabulary(spark, sf_dir):
     return Q.outside_vocabulary(values, allowed, "priority")
 
 
+@query("quality_amenities", """
+SELECT CAST(l_orderkey AS VARCHAR) AS entity, 'amenity' AS rule, l_returnflag || ' has no label' AS message
+FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')""")
+def quality_amenities(spark, sf_dir):
+    """The amenities of every project, a list in its row, against their labels."""
+    listed = _order_lines(spark, sf_dir).select(F.col("id").cast("string").alias("entity"), F.explode("lines.l_returnflag").alias("value"))
+    return Q.outside_vocabulary(listed, spark.createDataFrame([("A",), ("N",)], "value string"), "amenity")
+
+
+_CONTENT = """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 13 = 0 AS torn, o_orderkey % 11 = 0 AS flat, o_orderkey % 7 = 0 AS keyed FROM orders),
+l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i
+      FROM lineitem WHERE l_orderkey % 13 <> 0 AND l_orderkey % 11 <> 0),
+placed AS (SELECT *, k || ' projects.' || CASE WHEN k % 7 = 0 THEN 'p' ELSE '0' END || '.units.' || i AS place FROM l)
+"""
+
+
+@query("quality_content", _CONTENT + """
+SELECT CAST(k AS VARCHAR) AS entity, 'readable' AS rule, 'the content cannot be read' AS message FROM o WHERE torn
+UNION ALL SELECT CAST(k AS VARCHAR), 'object', 'the content is not an object' FROM o WHERE flat AND NOT torn
+UNION ALL SELECT CAST(k AS VARCHAR), 'projects', 'projects is not a list' FROM o WHERE keyed AND NOT torn AND NOT flat
+UNION ALL SELECT place || '.label', 'both languages', 'bilingual text is missing en' FROM placed WHERE p % 3 = 0
+UNION ALL SELECT place || '.label', 'both filled', 'one language is filled in and the other is empty' FROM placed WHERE p % 3 = 1 AND p % 4 = 0
+UNION ALL SELECT place || '.notes.0.deep.0.text', 'both languages', 'bilingual text is missing ar' FROM placed WHERE n % 2 = 0""")
+def quality_content(spark, sf_dir):
+    """Orders as JSON contents with bilingual texts some levels down: some torn, some of another shape."""
+    unit = lambda u: F.struct(
+        F.struct(F.lit("نص").alias("ar"), F.when(u["l_partkey"] % 3 != 0, F.when(u["l_partkey"] % 4 == 0, F.when(u["l_partkey"] % 3 == 2, "text").otherwise(" ")).otherwise("text")).alias("en")).alias("label"),
+        F.when(u["l_linenumber"] % 2 == 0, F.array(F.struct(F.array(F.struct(F.struct(F.lit("only").alias("en")).alias("text"))).alias("deep")))).alias("notes"))
+    units_ = F.struct(F.transform("lines", unit).alias("units"))
+    ignored = F.struct(F.struct(F.lit("x").alias("ar")).alias("side")).alias("company")
+    listed = F.to_json(F.struct(F.array(units_).alias("projects"), ignored))
+    keyed = F.to_json(F.struct(F.struct(units_.alias("p")).alias("projects"), ignored))
+    orders = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    body = F.when(F.col("id") % 13 == 0, '{"projects": [').when(F.col("id") % 11 == 0, "[1, 2]").when(F.col("id") % 7 == 0, keyed).otherwise(listed)
+    content = orders.join(_order_lines(spark, sf_dir), "id", "left").select(F.col("id").cast("string").alias("entity"), body.alias("body"))
+    return Q.content_rules(content).unionByName(Q.bilingual_content(content, ("projects",)))
+
+
+@query("quality_thin_images", sql("""
+SELECT 'plan-' || ordinal AS image FROM units WHERE area * 20 < 800"""))
+def quality_thin_images(spark, sf_dir):
+    files = units(spark, sf_dir).select(
+        F.explode(F.array(F.lit(20), F.col("area").cast("int") * 20)).alias("w"), "ordinal").select(F.format_string("plan-%d-%d.webp", "ordinal", "w").alias("file"))
+    return Q.thin_images(Q.manifest(files))
+
+
 @query("quality_dependencies", sql(_FAULTY + """
 SELECT project_id || '/' || plan AS entity, 'plan area' AS rule,
   'shared by ' || count(DISTINCT area) || ' areas from ' || min(area) || ' to ' || max(area) AS message

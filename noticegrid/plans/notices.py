@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from noticegrid import settings as S
 from noticegrid.functions import money
-from noticegrid.operators import dedupe, filters, normalise, report, score, state
+from noticegrid.operators import dedupe, filters, health, normalise, report, run, score, state
 from noticegrid.plans.registry import query
 from noticegrid.plans.views import ALIKE, DOCUMENT_NOTICES, MERGED, NOTICES, with_steps, with_views
 from noticegrid.session import cut_lineage, scratch_folder
+from noticegrid.sources import feeds, registry, sinks
 from noticegrid.sources import tables as T
 
 POLICY = S.FilterPolicy()
@@ -167,15 +168,17 @@ def notice_rank_sections(spark, sf_dir):
     return marked.select("id", "score", score.band(F.col("score")).alias("band"), "position", "section")
 
 
-@query("notice_report_layout", with_views(NOTICES, body=f"""
+_LAYOUT = f"""
 SELECT score AS "Score", title AS "Title", portal AS "Portal", notice_type AS "Notice type",
        sector AS "Sector", CAST(posted_date AS VARCHAR) AS "Published",
        CAST(closing_date AS VARCHAR) AS "Deadline", left_days AS "Days left",
        CASE WHEN value IS NULL THEN 'Not published'
             WHEN value >= 1e6 THEN 'US$ ' || format('{{:,.2f}}', value / 1e6) || 'm'
             ELSE 'US$ ' || format('{{:,}}', CAST(round_even(value, 0) AS BIGINT)) END AS "Estimated value",
-       language AS "Language", eligibility AS "Eligibility", contact AS "Contact", url AS "Link"
-FROM scored"""))
+       language AS "Language", eligibility AS "Eligibility", contact AS "Contact", url AS "Link" """
+
+
+@query("notice_report_layout", with_views(NOTICES, body=_LAYOUT + "\nFROM scored"))
 def notice_report_layout(spark, sf_dir):
     layout = report.export_layout(report.decorate(scored_orders(spark, sf_dir), RUN))
     return layout.drop("Flags").withColumns({
@@ -183,6 +186,80 @@ def notice_report_layout(spark, sf_dir):
     })
 
 
+@query("notice_filter_language", with_views(NOTICES, body="""
+SELECT coalesce(drop_reason, CASE WHEN language = 'ar' THEN 'language excluded' END, 'kept') AS reason, count(*) AS n FROM reasoned GROUP BY 1"""))
+def notice_filter_language(spark, sf_dir):
+    policy = S.FilterPolicy(language_mode="english_only")
+    return filters.reason_counts(filters.judge(T.notices_from_orders(spark, sf_dir), policy, RUN))
+
+
+# ------------------------------------------------------------------------------ sinks
+
+_SOURCES = ",".join(key for key, _, _ in S.SOURCES)
+
+
+def _export(df, name):
+    shown = df.drop("Flags").withColumns({c: F.col(c).cast("string") for c in ("Published", "Deadline")})
+    return shown.withColumns({"Score": F.col("Score").cast("double"), "Days left": F.col("Days left").cast("int"), "format": F.lit(name)})
+
+
+@query("sink_round_trip", with_views(NOTICES, body=_LAYOUT + ", format\nFROM scored, (VALUES ('csv'), ('json'), ('parquet')) f(format)"))
+def sink_round_trip(spark, sf_dir):
+    """The report in every format, written and read back; a name nobody knows is skipped."""
+    shown = report.decorate(scored_orders(spark, sf_dir), RUN)
+    folder = scratch_folder(spark, "sinks")
+    written = sinks.write_outputs(shown, folder, ("csv", "json", "unknown", "parquet"))
+    back = {
+        "csv": spark.read.option("header", True).csv(written["csv"]),
+        "json": report.export_layout(spark.read.schema(shown.schema).json(f"{written['json']}/tenders")),
+        "parquet": report.export_layout(spark.read.parquet(written["parquet"])),
+    }
+    first, *rest = (_export(df, name) for name, df in back.items())
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+@query("sink_envelope", with_views(NOTICES, body=f"""
+SELECT count(*) AS tender_count, '1998-06-15' AS generated_at, '{_SOURCES}' AS portals,
+       'run=19980615_' || count(*) || CASE WHEN count(*) = 1 THEN '-opportunity' ELSE '-opportunities' END AS folder FROM scored"""))
+def sink_envelope(spark, sf_dir):
+    """The envelope line of the JSON output, below a folder that names the state of the run."""
+    shown = report.decorate(scored_orders(spark, sf_dir), RUN)
+    sources = registry.source_table(spark)
+    outcome = sources.select("key", "rank", F.lit(1).alias("scanned"), F.lit(1).alias("count"), F.lit(None).cast("string").alias("reason"))
+    reported = shown.agg(F.count("*").alias("reported"))
+    slug = health.run_status(health.source_health(outcome), reported).first()["slug"]
+    folder = sinks.run_folder(scratch_folder(spark, "runs"), "19980615", slug)
+    sinks.write_json(shown, folder, sources, "1998-06-15")
+    return spark.read.json(f"{folder}/envelope").select(
+        "tender_count", "generated_at", F.array_join("portals.key", ",").alias("portals"), F.lit(folder.rsplit("/", 1)[1]).alias("folder"))
+
+
+@query("feed_entries", """
+SELECT 'Notice & call ' || o_orderkey AS title, 'https://f.example/' || o_orderkey AS url,
+  CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS posted, CASE WHEN o_orderkey % 5 <> 0 THEN 'by ' || o_orderpriority END AS description
+FROM orders WHERE o_orderkey % 11 <> 0""")
+def feed_entries(spark, sf_dir):
+    """Orders as the RSS items or Atom entries of a feed per customer; entries without a title go."""
+    orders = T.table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
+    day = F.when(~T.every("o_orderkey", 3), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    by = F.when(~T.every("o_orderkey", 5), F.concat(F.lit("by "), "o_orderpriority"))
+    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
+    title = F.when(~T.every("o_orderkey", 11), F.concat(F.lit("Notice &amp; call "), "k"))
+    link = F.concat(F.lit("https://f.example/"), "k")
+    rss = F.concat(F.lit("<item>"), tag("title", title), F.when(T.every("o_orderkey", 4), tag("guid", link)).otherwise(tag("link", link)),
+                   tag("pubDate", day), tag("description", by), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), tag("title", title), F.lit('<link href="'), link, F.lit('"/>'), tag("updated", day), tag("summary", by), F.lit("</entry>"))
+    entry = F.when(T.every("o_custkey", 2), rss).otherwise(atom)
+    feed = orders.groupBy("o_custkey").agg(F.array_join(F.collect_list(entry), "").alias("body"))
+    even = T.every("o_custkey", 2)
+    wrapped = F.when(even, F.concat(F.lit("<rss><channel><title>All</title>"), "body", F.lit("</channel></rss>"))).otherwise(
+        F.concat(F.lit("<feed><title>All</title>"), "body", F.lit("</feed>")))
+    landed = feed.select("o_custkey", wrapped.alias("payload"))
+    return feeds.landed_rss(landed.where(even)).unionByName(feeds.landed_atom(landed.where(~even)))
+
+
 @query("notice_ids", """
 SELECT CAST(o_orderkey AS VARCHAR) AS reference,
        o_orderpriority || '-' || substr(sha256(o_orderpriority || '|' || o_orderkey), 1, 16) AS id,
@@ -226,16 +303,28 @@ def seen_upsert(spark, sf_dir):
     )
 
 
-@query("run_log", with_views(NOTICES, body="""
-SELECT (SELECT count(*) FROM reasoned) AS scanned, (SELECT count(*) FROM scored) AS passed,
-       0 AS merged,
-       (SELECT count(*) FROM scored WHERE id NOT IN
-          (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')) AS new"""))
+RUN_POLICY = S.FilterPolicy(lookback_days=40, eligibility_mode="exclude")
+
+
+@query("run_log", with_steps(DOCUMENT_NOTICES.replace("doc_notices AS", "all_notices AS"), """
+doc_notices AS (SELECT * FROM all_notices WHERE DATE '2026-06-15' - posted_date <= 40 AND eligibility IS NULL)""", ALIKE, MERGED, body="""
+, heads AS (SELECT unnest(list_transform(kept, lambda k: k.ord)) AS ord FROM (SELECT kept FROM taken ORDER BY step DESC LIMIT 1))
+SELECT (SELECT count(*) FROM all_notices) AS scanned, (SELECT count(*) FROM doc_notices) AS passed,
+  (SELECT count(*) FROM doc_notices) - (SELECT count(*) FROM heads) AS merged,
+  (SELECT count(*) FROM heads JOIN placed USING (ord) WHERE id NOT IN (SELECT 'doc-' || doc_id FROM labels WHERE quality = 0)) AS new,
+  (SELECT count(*) FROM all_notices WHERE DATE '2026-06-15' - posted_date > 40) AS outside,
+  (SELECT count(*) FROM all_notices WHERE DATE '2026-06-15' - posted_date <= 40 AND eligibility IS NOT NULL) AS restricted"""))
 def run_log(spark, sf_dir):
-    judged = judged_orders(spark, sf_dir)
-    kept = filters.survivors(judged)
-    fresh = state.only_new(kept, T.seen_from_orders(spark, sf_dir))
-    return report.run_summary(judged, kept, fresh)
+    """A run over all documents; those of low quality were reported before."""
+    policy, day = RUN_POLICY, T.DOCUMENTS_RUN_DATE
+    judged = filters.judge(T.notices_from_documents(spark, sf_dir), policy, day)
+    low = T.table(spark, sf_dir, "labels").where(F.col("quality") == 0)
+    seen = low.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"))
+    done = run.run(judged, [name for _, name in filters.drop_tests(policy, day)], lambda df: df.withColumn("score", F.lit(50.0)),
+                   seen, scratch_folder(spark, "run"))
+    dropped = lambda name: F.coalesce(F.try_element_at("dropped", F.lit(name)), F.lit(0)).cast("long")
+    return done.summary().select("scanned", "passed", "merged", "new", dropped("outside lookback window").alias("outside"),
+                                 dropped("eligibility restricted").alias("restricted"))
 
 
 @query("state_batches", with_views(NOTICES, body="""

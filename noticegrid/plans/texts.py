@@ -50,6 +50,17 @@ def text_language_share(spark, sf_dir):
     )
 
 
+@query("text_arabic", r"""
+WITH t AS (SELECT o_orderkey, 'Clerk ' || o_orderpriority || repeat(' ماء', CAST(o_orderkey % 5 AS INTEGER)) AS body FROM orders),
+n AS (SELECT *, length(regexp_replace(body, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(body, '[^ماء]', '', 'g')) AS arabic FROM t)
+SELECT o_orderkey, round(arabic * 1e0 / letters, 6) AS share, CASE WHEN arabic * 1e0 / letters >= 0.2e0 THEN 'ar' ELSE 'en' END AS language FROM n""")
+def text_arabic(spark, sf_dir):
+    word = F.expr("repeat(' ماء', cast(o_orderkey % 5 as int))")
+    body = F.concat(F.lit("Clerk "), "o_orderpriority", word)
+    return T.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.round(text.arabic_share(body), 6).alias("share"), text.language(body).alias("language"))
+
+
 @query("text_truncate", rf"""
 SELECT doc_id, CASE WHEN length(c) <= 120 THEN c
   ELSE regexp_replace(substr(c, 1, 120), ' [^ ]*$', '') || ' …' END AS teaser

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticegrid.operators.health import registry_rank
 from noticegrid.operators.report import export_layout
 
 log = logging.getLogger(__name__)
@@ -26,13 +27,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str, health: DataFrame | None = None, generated_at: str | None = None) -> None:
     """Notices as JSON lines, next to one envelope line with the run's counts and sources.
 
-    The notices stay distributed; only the source list, one row per registered source, is
-    nested into the envelope.
+    The notices stay distributed; only the source list, one row per registered source and with its
+    ``key``, is nested into the envelope, in the order of the registry.
     """
     public_columns(df).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/tenders")
     counts = df.agg(F.count("*").alias("tender_count")).withColumn("generated_at", F.lit(generated_at))
     if health is not None:
-        sources = health.agg(F.sort_array(F.collect_list(F.struct(*health.columns))).alias("portals"))
+        ranked = F.struct(registry_rank(F.col("key")).alias("rank"), F.struct(*health.columns).alias("source"))
+        sources = health.agg(F.transform(F.sort_array(F.collect_list(ranked)), lambda r: r["source"]).alias("portals"))
         counts = counts.withColumn("portals", sources.scalar())
     counts.write.mode("overwrite").json(f"{path}/envelope")
 
