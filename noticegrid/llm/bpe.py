@@ -9,6 +9,10 @@ of one length are merged together, as the rows of one array. Pieces of more than
 symbols keep the same boundaries and ranks in a heap, with the same result in n log n. Results
 of recent words are remembered, up to ``REMEMBERED`` per worker.
 
+What is a letter, a number, a lower case or a composed form follows the Unicode version of the library the vocabulary
+is for. Where it differs from Python's, or Python does not know a code point, the library normalises and splits
+the text, and only merging is done here; the code points concerned are found once per application, by asking both about all.
+
 Decoding joins the strings of the ids by one space, as the vocabulary defines no other decoder.
 Null text counts as empty and has no ids; rows are encoded one by one, so repeated rows repeat;
 extra columns are ignored. The vocabulary file's path is a parameter; its content (1.7 MB) is
@@ -23,6 +27,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache, cached_property, partial
 from itertools import chain
 
 import numpy as np
@@ -36,6 +41,7 @@ CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Fixed values of the vocabulary's normaliser and splitter.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = rf"[{SPACES}]"
+LIBRARY_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+"
 
 
@@ -46,8 +52,45 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _runs(pattern: str, text: str) -> np.ndarray:
+    """Which characters of a text the library's pattern of one class takes."""
+    from tokenizers import Regex, pre_tokenizers
+
+    out = np.zeros(len(text), bool)
+    for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+        out[a:b] = True
+    return out
+
+
+@cache
+def differing() -> str:
+    """The code points that Python knows, but reads otherwise than the library."""
+    from tokenizers import normalizers
+
+    known = [c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.category(c) != "Cn" and c != "\n"]
+    text = "".join(known)
+    letters, numbers = _runs(r"[\p{L}]+", text), _runs(r"[\p{N}]+", text)
+    own_letters, own_numbers = (np.fromiter((c is not None for c in map(regex.compile(p).match, known)), bool, len(known)) for p in (r"\p{L}", r"\p{N}"))
+    odd = (letters != own_letters) | (numbers != own_numbers) | (letters != np.fromiter(map(str.isalpha, known), bool, len(known)))
+    def unlike(normaliser, own: Callable[[str], str], probes: list[str]) -> np.ndarray:
+        theirs = normaliser.normalize_str("\n".join(probes)).split("\n")
+        return np.fromiter((a != own(p) for a, p in zip(theirs, probes, strict=True)), bool, len(probes))
+
+    nfc, composed = normalizers.NFC(), partial(unicodedata.normalize, "NFC")
+    odd |= unlike(normalizers.Lowercase(), str.lower, known) | unlike(nfc, composed, known)
+    # Marks change places by their class, so each is also tried behind a mark of a high class and before one of a low.
+    odd |= unlike(nfc, composed, ["\u0345" + c for c in known]) | unlike(nfc, composed, [c + "\u0334" for c in known])
+    # What a code point is made of may be put together by one and not by the other.
+    parts = [unicodedata.normalize("NFD", c) for c in known if unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<")]
+    apart = {c for p, u in zip(parts, unlike(nfc, composed, parts), strict=True) if u for c in p}
+    return "".join(c for c, o in zip(known, odd, strict=True) if o or c in apart)
+
+
 class Vocabulary:
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, odd: str | None = None):
+        self.odd = frozenset(differing() if odd is None else odd)
+        #: Code points that Python and the library read alike, as far as met.
+        self.alike: set[str] = set()
         spec = json.loads(content)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -73,12 +116,35 @@ class Vocabulary:
         #: Words, and ids of special strings, to their ids as 32-bit numbers, which take little room.
         self.words: dict[str | int, bytes] = {}
 
+    def strange(self, text: str) -> bool:
+        """Whether some code point is not read alike by Python and the library."""
+        if text.isascii():
+            return False
+        fresh = set(text).difference(self.alike)
+        if any(c in self.odd or unicodedata.category(c) == "Cn" for c in fresh):
+            return True
+        self.alike |= fresh
+        return False
+
+    @cached_property
+    def library(self):
+        """The library's normaliser and splitter, without its merging."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        normaliser = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        return normaliser.normalize_str, pre_tokenizers.Split(Regex(LIBRARY_PIECES), "removed", invert=True).pre_tokenize_str
+
+    def cut_word(self, word: str) -> list[str]:
+        return [p for p, _ in self.library[1](word)] if self.strange(word) else self.pieces(word)
+
     def stretches(self, text: str) -> list[str | int]:
         """The normalised text's stretches without space, and the ids of special strings."""
         out: list[str | int] = []
         for i, part in enumerate(self.cut.split(text)):
             if i % 2:
                 out.append(self.special[part])
+            elif part and self.strange(part):
+                out += [x for x in self.library[0](part).split(" ") if x]
             elif part:
                 # A capital sigma is lower-cased alike everywhere here, unlike in Python.
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
@@ -92,8 +158,8 @@ class Vocabulary:
         if len(words) + len(fresh) > REMEMBERED:
             words.clear()
             fresh = set(chain.from_iterable(split))
-        plain = [w for w in fresh if w.__class__ is str and w.isalpha()]
-        pieces = {w: self.pieces(w) for w in fresh.difference(plain) if w.__class__ is str}
+        plain = [w for w in fresh if w.__class__ is str and w.isalpha() and not self.strange(w)]
+        pieces = {w: self.cut_word(w) for w in fresh.difference(plain) if w.__class__ is str}
         merged = self.merge_many({*plain, *chain.from_iterable(pieces.values())})
         words.update((w, _packed([w])) for w in self.special.values())
         words.update((w, merged[w]) for w in plain)
@@ -189,8 +255,8 @@ def load(spark: SparkSession, path: str) -> Callable[[], Vocabulary]:
     it remembers took a third of an executor's memory from the stages that follow.
     """
     with open(path, "rb") as file:
-        content = spark.sparkContext.broadcast(file.read())
-    return lambda: Vocabulary(content.value)
+        content = spark.sparkContext.broadcast((file.read(), differing()))
+    return lambda: Vocabulary(*content.value)
 
 
 @contextmanager

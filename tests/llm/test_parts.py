@@ -1,6 +1,7 @@
 """The numpy parts of the operators, against plain versions."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -76,6 +77,24 @@ def test_bpe_is_the_librarys():
         assert own.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_bpe_reads_every_code_point_as_the_library():
+    """Between and before letters, before a digit, with itself, with marks of both classes, and alone."""
+    tokenizers = pytest.importorskip("tokenizers")
+    with open(vocabulary_path(), "rb") as f:
+        own = bpe.Vocabulary(f.read())
+    library = tokenizers.Tokenizer.from_file(vocabulary_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    strange = {c for c in points if own.strange(c)}
+    for some in (sorted(strange), [c for c in points if c not in strange]):
+        texts = [" ".join(f"a{c}b A{c}{c}\u0301 {c}1 o\u0345{c}\u0334 {c}" for c in some[i:i + 64]) for i in range(0, len(some), 64)]
+        for i in range(0, len(texts), 256):
+            want = [e.ids for e in library.encode_batch(texts[i:i + 256], add_special_tokens=False)]
+            assert [x.tolist() for x in own.encode_many(texts[i:i + 256])] == want
+    made = [unicodedata.normalize("NFD", c) for c in points]
+    made = [m for m in made if len(m) > 1]
+    assert [x.tolist() for x in own.encode_many(made)] == [library.encode(m, add_special_tokens=False).ids for m in made]
+
+
 def test_cuts_resist_insertions_and_blocks():
     rng = random.Random(5)
     raw = bytes(rng.choice(b"abcdef ghij") for _ in range(9000))
