@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of a text; its last ``WINDOW`` bytes decide. A chunk ends where
 the hash is the least within ``REACH`` bytes to either side (the first of equals), so a cut depends
 on nearby bytes only, chunks are longer than REACH, and an insertion moves no cut beyond its
-neighbourhood. Chunks are compared by a 64-bit digest. A chunk that also occurs in a document
+neighbourhood. Chunks are compared by a 128-bit digest, held as two numbers. A chunk that also occurs in a document
 with a smaller id is a repeat; adjoining repeats of ``LEAST`` bytes or more together are removed,
 shorter ones stay, so that chance repeats of short chunks leave clean text alone.
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from noticegrid.llm.common import whole
 
 WINDOW, REACH, LEAST, SEED, BLOCK = 16, 24, 80, 991, 1 << 20
+HALVES = ("high", "low")
 _GEAR = np.random.default_rng(SEED).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -60,11 +61,11 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.concatenate([at + 1, [n]]) if not len(at) or at[-1] + 1 < n else at + 1
 
 
-def chunked(raw: bytes) -> tuple[np.ndarray, list[int]]:
+def chunked(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Ends and digests of the chunks of a text."""
     ends = _ends(raw)
     starts = [0, *ends][: len(ends)]
-    digests = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(starts, ends, strict=True)]
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)]
     return ends, digests
 
 
@@ -82,37 +83,45 @@ def _ends(raw: bytes) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and digest of each distinct chunk of a document."""
+    """doc_id and the digest's halves of each distinct chunk of a document."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [sorted(set(chunked(t.encode())[1])) for t in part.column("text").to_pylist()]
                 ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
-                digests = np.array([x for s in sets for x in s], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests)], names=["doc_id", "digest"])
+                halves = np.frombuffer(b"".join(x for s in sets for x in s), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(h)) for h in halves.T)], names=["doc_id", *HALVES])
 
-    return docs.mapInArrow(rows, "doc_id long, digest long")
+    return docs.mapInArrow(rows, "doc_id long, high long, low long")
+
+
+def _digests(repeats: pa.ListArray) -> Iterator[set[bytes]]:
+    """The digests listed in each row."""
+    halves = np.stack([repeats.values.field(n).to_numpy(zero_copy_only=False) for n in HALVES], axis=1).astype("<i8")
+    at = repeats.offsets.to_numpy()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield {x.tobytes() for x in halves[a:b]}
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            out = [removed(t.encode(), d) for t, d in zip(part.column("text").to_pylist(), part.column("repeats").to_pylist(), strict=True)]
+            out = [removed(t.encode(), d) for t, d in zip(part.column("text").to_pylist(), _digests(part.column("repeats")), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(
                     (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())))],
                 names=["doc_id", "n_bytes", "n_chunks", "n_repeated", "spans", "kept"])
 
 
-def removed(raw: bytes, repeats) -> tuple[int, int, int, list[list[int]], bytes]:
+def removed(raw: bytes, known: set[bytes]) -> tuple[int, int, int, list[list[int]], bytes]:
     """Bytes, chunks, chunks that go, removed spans and what is left of a text.
 
     Repeated chunks go where they make up ``LEAST`` bytes in a row or the whole text; a shorter stretch is repeated by chance.
     """
     ends, digests = chunked(raw)
-    known = set(repeats or ())
     runs: list[list[int]] = []
     for a, b, d in zip([0, *ends][: len(ends)], ends, digests, strict=True):
         if d in known:
@@ -132,8 +141,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeated, spans (removed, in bytes) and kept (bytes), a row per row of ``docs``."""
     texts = docs.select("doc_id", whole(F.col("text")).alias("text"))
     rows = chunk_rows(texts.filter(F.col("doc_id").isNotNull()))
-    owners = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    repeats = rows.join(owners.select("digest", "first"), "digest").filter(F.col("doc_id") > F.col("first"))
-    per_doc = repeats.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("digest").alias("repeats"))
+    owners = rows.groupBy(*HALVES).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    repeats = rows.join(owners.select(*HALVES, "first"), list(HALVES)).filter(F.col("doc_id") > F.col("first"))
+    per_doc = repeats.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct(*HALVES)).alias("repeats"))
     joined = texts.join(per_doc, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "repeats")
     return joined.mapInArrow(_cleaned, "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<array<long>>, kept binary")
