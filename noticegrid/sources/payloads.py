@@ -16,6 +16,7 @@ from noticegrid import settings as S
 from noticegrid.functions.text import filled
 from noticegrid.operators.normalise import compose_title, unwrap, value_phrase
 from noticegrid.operators.relevance import code_verdict, field_verdict, title_prefix_verdict
+from noticegrid.session import evaluated
 
 # Field spellings of the first source.
 SPELLINGS: dict[str, tuple[str, ...]] = {
@@ -91,7 +92,6 @@ def items(payloads: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) ->
     top = payloads.select(*rest, text.alias("text"), F.from_json(text, _texts(keys)).alias("top"))
     under = F.coalesce(*[F.nullif(F.col("top").getField(k), F.lit("")) for k in keys])
     listed = top.select(*rest, F.when(F.col("text").startswith("["), F.col("text")).otherwise(under).alias("list"))
-    texts = listed.select(*rest, F.posexplode(_as_items(F.col("list"))).alias("item_no", "json"))
     # Names that differ by case alone cannot stand in one schema.
     groups: list[dict[str, str]] = []
     for n in dict.fromkeys(names):
@@ -99,8 +99,10 @@ def items(payloads: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) ->
         if group is None:
             groups.append(group := {})
         group[n.lower()] = n
-    parsed = texts.select(*rest, "item_no", *[F.from_json("json", _texts(g.values())).alias(f"read_{i}") for i, g in enumerate(groups)])
-    filled_in = [F.expr(f"if(trim(read_{i}.`{n}`) IN ('', '[]', '{{}}'), null, read_{i}.`{n}`)").alias(_slot(n))
+    # Parsed where the items are made: a projection's parse would be repeated by every filter on a field.
+    read = lambda json: F.struct(*[F.from_json(json, _texts(g.values())).alias(f"read_{i}") for i, g in enumerate(groups)])
+    parsed = listed.select(*rest, F.posexplode(F.transform(_as_items(F.col("list")), read)).alias("item_no", "parsed"))
+    filled_in = [F.expr(f"if(trim(parsed.read_{i}.`{n}`) IN ('', '[]', '{{}}'), null, parsed.read_{i}.`{n}`)").alias(_slot(n))
                  for i, g in enumerate(groups) for n in g.values()]
     return parsed.select(*rest, "item_no", F.struct(*filled_in).alias("item"))
 
@@ -129,7 +131,7 @@ def worldbank(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) ->
     ids = [F.when(F.trim(field(n)).rlike(NOTICE_ID), F.upper(F.trim(field(n)))) for n in SPELLINGS["notice_id"]]
     country = pick(SPELLINGS["country"])
     joined = F.when(country.startswith("["), F.concat_ws(" ", F.from_json(country, "array<string>"))).otherwise(country)
-    return rows.select(
+    return evaluated(rows.select(
         F.lit("worldbank").alias("portal"),
         compose_title(pick(SPELLINGS["title"]), pick(SPELLINGS["project"])).alias("title"),
         F.coalesce(*links, F.concat(F.lit(NOTICE_PAGE), F.coalesce(*ids))).alias("url"),
@@ -138,7 +140,7 @@ def worldbank(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) ->
         pick(SPELLINGS["notice_type"]).alias("notice_type"), pick(SPELLINGS["contact"]).alias("contact"),
         pick(SPELLINGS["reference"]).alias("reference"), F.lit("USD").alias("currency"),
         field_verdict(terms, joined).alias("verdict"),
-    ).where(F.col("title").isNotNull())
+    )).where(F.col("title").isNotNull())
 
 
 def ted(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) -> DataFrame:
@@ -148,7 +150,7 @@ def ted(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) -> DataFr
     title = F.coalesce(unwrap(field("notice-title")), unwrap(field("title")))
     verdict = F.coalesce(code_verdict(terms, *[unwrap(field(p)) for p in TED_PLACES]),
                          title_prefix_verdict(terms, unwrap(field("notice-title"))))
-    return rows.select(
+    return evaluated(rows.select(
         F.lit("ted").alias("portal"), title.alias("title"),
         F.coalesce(*links, F.concat(F.lit(TED_PAGE), number)).alias("url"),
         unwrap(field("publication-date")).alias("posted"),
@@ -157,7 +159,7 @@ def ted(payloads: DataFrame, terms: S.CountryTerms = S.CountryTerms()) -> DataFr
         F.coalesce(unwrap(field("description-lot")), unwrap(field("description"))).alias("description"),
         unwrap(field("notice-type")).alias("notice_type"), unwrap(field("buyer-name")).alias("contact"),
         number.alias("reference"), F.lit("EUR").alias("currency"), verdict.alias("verdict"),
-    ).where(F.col("title").isNotNull())
+    )).where(F.col("title").isNotNull())
 
 
 def samgov(payloads: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def samgov(payloads: DataFrame) -> DataFrame:
         " ", filled(_inner(field("pointOfContact"), f"{first}.fullName")),
         filled(_inner(field("pointOfContact"), f"{first}.email")),
     )
-    return rows.select(
+    return evaluated(rows.select(
         F.lit("samgov").alias("portal"), field("title").alias("title"),
         pick(("uiLink", "link")).alias("url"), field("postedDate").alias("posted"),
         pick(("responseDeadLine", "responseDeadline")).alias("closing"),
@@ -178,7 +180,7 @@ def samgov(payloads: DataFrame) -> DataFrame:
         F.coalesce(field("description"), filled(country)).alias("description"),
         pick(("type", "baseType")).alias("notice_type"), filled(contact).alias("contact"),
         pick(("noticeId", "solicitationNumber")).alias("reference"), F.lit("USD").alias("currency"),
-    ).where(F.col("title").isNotNull())
+    )).where(F.col("title").isNotNull())
 
 
 def fcdo(payloads: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def fcdo(payloads: DataFrame) -> DataFrame:
     document = F.get(F.filter(documents, lambda d: F.coalesce(d["url"], F.lit("")) != ""), F.lit(0))["url"]
     buyer = F.get(F.filter(parties, lambda p: F.coalesce(F.array_contains(p["roles"], "buyer"), F.lit(False))), F.lit(0))["name"]
     tags = F.from_json(field("tag"), "array<string>")
-    return rows.select(
+    return evaluated(rows.select(
         F.lit("fcdo").alias("portal"),
         F.coalesce(filled(_inner(tender, "$.title")), field("title")).alias("title"),
         F.coalesce(document, F.concat(F.lit(OCDS_PAGE), field("ocid"))).alias("url"),
@@ -202,4 +204,4 @@ def fcdo(payloads: DataFrame) -> DataFrame:
         F.coalesce(filled(buyer), _inner(field("buyer"), "$.name")).alias("contact"),
         F.coalesce(field("ocid"), _inner(tender, "$.id")).alias("reference"),
         F.coalesce(filled(currency), F.lit("GBP")).alias("currency"),
-    ).where(F.col("title").isNotNull())
+    )).where(F.col("title").isNotNull())
