@@ -81,7 +81,7 @@ _NATIONS = S.CountryTerms(latin=("france", "jordan", "japan", "germany"), substr
 
 def worldbank_payloads(spark, sf_dir):
     """Orders of each customer as one landed response in the list or the keyed form."""
-    orders = T.notices_from_orders(spark, sf_dir)
+    orders = T.in_parts(T.notices_from_orders(spark, sf_dir), spark, sf_dir, "orders")
     nation = F.regexp_extract("title", r"#\d+ (.*)$", 1)
     item = F.struct(
         F.concat(F.lit("OP"), F.lpad(F.col("id"), 8, "0")).alias("id"),
@@ -143,9 +143,9 @@ SELECT 'fcdo-' || substr(sha256('fcdo|ocds-' || k), 1, 16) AS id, 'Works ' || k
   c_name AS contact, CASE WHEN k % 4 = 0 THEN o_orderstatus ELSE o_orderpriority END AS notice_type
 FROM o"""))
 def payload_releases(spark, sf_dir):
-    orders = T.heavy(spark, sf_dir, "orders")
+    orders = T.table(spark, sf_dir, "orders")
     customer = T.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = T.in_parts(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     amount = F.when(~T.every("o_orderkey", 5), F.floor("o_totalprice"))
     release = F.struct(
@@ -181,8 +181,9 @@ o AS (
 def _placed_orders(spark, sf_dir):
     customer = T.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = T.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = T.heavy(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({
+    joined = T.table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    placed = joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return T.in_parts(placed, spark, sf_dir, "orders").withColumns({
         "k": F.col("o_orderkey").cast("string"), "price": (1000 * F.floor("o_totalprice")).cast("string")})
 
 

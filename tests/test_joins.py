@@ -40,3 +40,27 @@ def test_dedupe_of_a_small_file_collects_nothing(spark, small_file):
     assert sorted((r.id, r.n_members) for r in result.kept.collect()) == [("0", 3), ("3", 1)]
     live = cut_lineage(dedupe._nodes(base.withColumn("ord", F.col("id").cast("long"))))
     assert "Broadcast" not in plan(dedupe._next_assignment(live, similar.Alike(base)))
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_are_parsed_once_whatever_is_filtered(spark):
+    from noticegrid.sources import payloads
+
+    rows = [('{"procnotices": [{"notice_title": "Works", "id": "OP123456", "url": "http://a/1"}, {"id": "OP2"}]}',), ("[]",), (None,)]
+    found = payloads.worldbank(spark.createDataFrame(rows, "payload string"))
+    # The response and the item, whatever number of fields is read from them.
+    assert optimized(found).count("from_json(StructField") == 2
+    assert [(r.title, r.reference) for r in found.collect()] == [("Works", "OP123456")]
+
+
+def test_parts_are_several_to_a_split(spark, tmp_path):
+    from noticegrid.sources import tables as T
+
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    table = T.table(spark, str(tmp_path), "orders")
+    dealt = T.in_parts(table.where("id % 2 = 0"), spark, str(tmp_path), "orders")
+    assert dealt.rdd.getNumPartitions() >= T.TASKS_PER_SPLIT * table.rdd.getNumPartitions()
+    assert sorted(r.id for r in dealt.collect()) == list(range(0, 40, 2))
