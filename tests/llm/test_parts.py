@@ -142,3 +142,12 @@ def test_collections_agree_as_often_as_sets_do():
     a, b = np.unique(base[:3600]), np.unique(base[400:])
     got = minhash._collections([a, b])
     assert 0.25 < (got[0] == got[1]).mean() < 0.85
+
+
+def test_names_are_ordered_with_long_repeats():
+    """Many symbols, and stretches that come again up to the end."""
+    rng = np.random.default_rng(3)
+    for n, symbols, times in ((1, 300, 1), (300, 900, 1), (40, 500, 9), (7, 2, 60)):
+        t = np.append(np.tile(rng.integers(1, symbols + 1, n), times), 0)
+        want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert suffix._order_names(t).tolist() == suffix.suffix_array(t, 1000).tolist() == want
