@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noticegrid import settings as S
 from noticegrid.functions.text import filled
-from noticegrid.session import cut_lineage
+from noticegrid.session import evaluated, next_round
 
 ID_PATTERN = r"^[a-z0-9-]+$"
 PHONE_PATTERN = r"^[+()\d\s-]{8,20}$"
@@ -125,43 +125,58 @@ def content_rules(content: DataFrame, lists: tuple[str, ...] = ("projects",)) ->
 
     An object that repeats a name is not readable.
     """
-    read = content.select("entity", F.try_parse_json("body").alias("node"))
-    shape = F.schema_of_variant("node")
-    is_object = shape.startswith("OBJECT")
-    part = lambda n: F.schema_of_variant(F.try_variant_get("node", f"$['{n}']", "variant"))
-    return check_rows(read, F.col("entity"), [
-        ("readable", F.col("node").isNotNull(), _said("the content cannot be read")),
-        ("object", F.col("node").isNull() | is_object, _said("the content is not an object")),
-        *[(n, ~F.coalesce(is_object, F.lit(False)) | F.coalesce(part(n).startswith("ARRAY"), F.lit(False)), _said(n, "is not a list")) for n in lists],
+    read = evaluated(content.select("entity", F.try_parse_json("body").alias("node")))
+    # Taken as an object without fields, or as a list of such: null for any other shape, and nothing below is looked into.
+    of_shape = lambda path, shape: F.try_variant_get("node", path, shape).isNotNull()
+    judged = evaluated(read.select("entity", F.col("node").isNotNull().alias("readable"), of_shape("$", "struct<>").alias("object"),
+                                   *[of_shape(f"$['{n}']", "array<struct<>>").alias(f"list_{i}") for i, n in enumerate(lists)]))
+    return check_rows(judged, F.col("entity"), [
+        ("readable", F.col("readable"), _said("the content cannot be read")),
+        ("object", ~F.col("readable") | F.col("object"), _said("the content is not an object")),
+        *[(n, ~F.col("object") | F.col(f"list_{i}"), _said(n, "is not a list")) for i, n in enumerate(lists)],
     ])
 
 
+#: Levels of JSON texts that are gone down before the rows are written.
+LEVELS_AT_ONCE = 12
+
+
+def _one_level_down(level: DataFrame, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows ``entity, path, sides, node``: a value found (``sides``) stays, any other node gives a row for each of its parts."""
+    spark = level.sparkSession
+    looked = level.withColumn("sides", F.coalesce("sides", F.try_variant_get("node", "$", "struct<ar: variant, en: variant>")))
+    found = F.col("sides.ar").isNotNull() | F.col("sides.en").isNotNull()
+    parts = looked.withColumn("node", F.when(~F.coalesce(found, F.lit(False)), F.col("node"))).lateralJoin(
+        spark.tvf.variant_explode_outer(F.col("node").outer()))
+    wanted = F.col("value").isNotNull() if roots is None else F.col("key").isin(list(roots))
+    step = F.coalesce("key", F.col("pos").cast("string"))
+    kept = F.col("value").isNull()
+    return parts.where(found | wanted).select(
+        "entity", F.when(kept, F.col("path")).when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"),
+        F.when(kept, F.col("sides")).alias("sides"), F.col("value").alias("node"))
+
+
 def bilingual_pairs(content: DataFrame, roots: tuple[str, ...] | None = None) -> DataFrame:
     """Bilingual values of JSON texts ``(entity, body)`` at any depth: ``entity, path, ar, en, has_ar, has_en``.
 
     An object with a side in one language is a value and not looked into; ``ar`` and ``en`` are null unless text. ``roots``
-    names the top parts to walk. All texts go down one level per round, and only lists and objects go on, so
-    there are as many rounds as levels, whatever the number of texts. Unreadable texts give nothing here.
+    names the top parts to walk. All texts go down ``LEVELS_AT_ONCE`` levels in one pass over them, whose rows are written;
+    what lies deeper goes on in the next pass, whatever the number of texts. Unreadable texts give nothing here.
     """
-    spark = content.sparkSession
-    side = lambda n: F.try_variant_get("node", f"$.{n}", "variant")
-    text = lambda n: F.when(F.schema_of_variant(side(n)) == "STRING", F.try_variant_get("node", f"$.{n}", "string"))
-    level = content.select("entity", F.lit("").alias("path"), F.try_parse_json("body").alias("node")).where(F.col("node").isNotNull())
+    text = lambda n: F.when(F.schema_of_variant(f"sides.{n}") == "STRING", F.try_variant_get(f"sides.{n}", "$", "string"))
+    sides = F.lit(None).cast("struct<ar: variant, en: variant>")
+    level = content.select("entity", F.lit("").alias("path"), sides.alias("sides"), F.try_parse_json("body").alias("node"))
     found = None
     while True:
-        level = cut_lineage(level.withColumns({"has_ar": side("ar").isNotNull(), "has_en": side("en").isNotNull()}))
-        either = F.col("has_ar") | F.col("has_en")
-        pairs = level.where(either).select("entity", "path", text("ar").alias("ar"), text("en").alias("en"), "has_ar", "has_en")
+        for _ in range(LEVELS_AT_ONCE):
+            level, roots = _one_level_down(level, roots), None
+        walked = next_round(level.select("entity", "path", text("ar").alias("ar"), text("en").alias("en"),
+                                         F.col("sides.ar").isNotNull().alias("has_ar"), F.col("sides.en").isNotNull().alias("has_en"), "node"))
+        pairs, deeper = walked.where(F.col("node").isNull()).drop("node"), walked.where(F.col("node").isNotNull())
         found = pairs if found is None else found.unionByName(pairs)
-        below = level.where(~either).select("entity", "path", "node").lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
-        if roots is not None:
-            below, roots = below.where(F.col("key").isin(list(roots))), None
-        step = F.coalesce("key", F.col("pos").cast("string"))
-        shape = F.schema_of_variant("value")
-        level = below.where(shape.startswith("OBJECT") | shape.startswith("ARRAY")).select(
-            "entity", F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), F.col("value").alias("node"))
-        if level.isEmpty():
+        if deeper.isEmpty():
             return found
+        level = deeper.select("entity", "path", sides.alias("sides"), "node")
 
 
 def bilingual_content(content: DataFrame, roots: tuple[str, ...] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from noticegrid.operators import inventory as I
 from noticegrid.operators import quality as Q
 from noticegrid.plans.registry import query
 from noticegrid.plans.views import UNITS, with_views
+from noticegrid.session import next_round
 from noticegrid.sources import tables as T
 
 SEARCH = I.UnitQuery(min_beds=2, min_area=10, max_price=1500.0, status="available", sort="floorAsc")
@@ -468,7 +469,8 @@ def quality_content(spark, sf_dir):
     keyed = F.to_json(F.struct(F.struct(units_.alias("p")).alias("projects"), ignored))
     orders = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     body = F.when(F.col("id") % 13 == 0, '{"projects": [').when(F.col("id") % 11 == 0, "[1, 2]").when(F.col("id") % 7 == 0, keyed).otherwise(listed)
-    content = orders.join(_order_lines(spark, sf_dir), "id", "left").select(F.col("id").cast("string").alias("entity"), body.alias("body"))
+    written = next_round(orders.join(_order_lines(spark, sf_dir), "id", "left").select(F.col("id").cast("string").alias("entity"), body.alias("body")))
+    content = T.in_parts(written, spark, sf_dir, "orders")
     return Q.content_rules(content).unionByName(Q.bilingual_content(content, ("projects",)))
 
 

@@ -69,3 +69,41 @@ def test_landed_feeds(spark):
             ("<rss><channel>",), ("",), (None,)]
     got = feeds.landed_rss(spark.createDataFrame(rows, "payload string")).collect()
     assert [(r["title"], r["url"], r["posted"]) for r in got] == [("One", "https://f.example/1", None)]
+
+
+def _nested(levels):
+    """A value some lists and objects down, and its path."""
+    node, path = {"ar": "x"}, []
+    for i in range(levels):
+        node, step = ([node], "0") if i % 2 else ({"k": node}, "k")
+        path.insert(0, step)
+    return {"projects": node}, ".".join(["projects", *path])
+
+
+def test_levels_are_gone_down_in_few_passes(spark):
+    """The jobs do not grow with each level; texts deeper than one pass goes are walked to their ends."""
+    shallow, path = _nested(quality.LEVELS_AT_ONCE - 4)
+    df = spark.createDataFrame([("a", json.dumps(shallow))], "entity string, body string")
+    spark.sparkContext.setJobGroup("levels", "levels")
+    got = {tuple(r) for r in quality.bilingual_pairs(df, ("projects",)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {("a", path, "x", None, True, False)} and jobs <= 6
+
+    texts, paths = zip(*[_nested(n) for n in (0, 1, quality.LEVELS_AT_ONCE - 1, quality.LEVELS_AT_ONCE, 3 * quality.LEVELS_AT_ONCE + 1)])
+    whole = {"ar": {"deep": {"en": "in a side"}}, "projects": {"en": "not looked into"}}
+    bodies = [*map(json.dumps, texts), json.dumps(whole), '{"projects": [[], {}, null, "ar", 1, {"en": null}]}', '"text"']
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "entity string, body string")
+    got = sorted(tuple(r) for r in quality.bilingual_pairs(df).collect())
+    assert got == sorted([(str(i), p, "x", None, True, False) for i, p in enumerate(paths)] + [
+        ("5", "", None, None, True, False), ("6", "projects.5", None, None, False, True)])
+    assert {r["entity"] for r in quality.content_rules(df).collect() if r["rule"] == "projects"} == {"0", "1", "2", "3", "4", "5"} - {
+        str(i) for i, t in enumerate(texts) if isinstance(t["projects"], list)}
+
+
+def test_shapes_of_contents(spark):
+    bodies = ["{}", '{"projects": []}', '{"projects": [1, "x", null, {}, [2]]}', '{"projects": null}', '{"projects": {}}',
+              '{"projects": "[1]"}', '"{}"', "3", "null", "[{}]", "{", '{"a": 1, "a": 2}', None]
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "entity string, body string")
+    got = {(r["entity"], r["rule"]) for r in quality.content_rules(df).collect()}
+    assert got == {(str(i), "projects") for i in (0, 3, 4, 5)} | {(str(i), "object") for i in (6, 7, 8, 9)} | {(str(i), "readable") for i in (10, 11, 12)}
