@@ -2,7 +2,9 @@
 
 Vectors are packed into tiles, a few rows each holding a block of ids and a block matrix. Every
 query tile meets every candidate tile once through an equi-join on the candidate shard; the
-pair is one matrix product, and per query only the best k of the tile go on. The lists of a
+pair is one matrix product, and per query only the best k of the tile go on. Both sides go by key: the
+query tiles are repeated for every shard, and the engine, which does not count that, would collect them for a
+broadcast. Blocks hold the least integer type that has room for their components. The lists of a
 query are merged as a tree over the shards, ``FAN_IN`` at a time, so no task sees more than
 ``FAN_IN`` x k rows of a query at once.
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from noticegrid.session import keyed
 
 SCALE = 1024
 TILE = 4096
@@ -40,13 +43,24 @@ def integers(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.coalesce(sound, F.lit(False))).select("vec_id", scaled.alias("vector"))
 
 
+def _narrow(block: np.ndarray) -> np.ndarray:
+    low, high = block.min(initial=0), block.max(initial=0)
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return np.ascontiguousarray(block, kind)
+
+
+def _wide(block: bytes, rows: int, dim: int) -> np.ndarray:
+    """The int64 components of a block, whatever type it holds."""
+    return np.frombuffer(block, f"i{len(block) // (rows * dim)}").reshape(rows, dim).astype(np.int64)
+
+
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
     ids = table["vec_id"].to_numpy()
     order = np.argsort(ids, kind="stable")
     flat = table["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([flat.shape[1]], pa.int32()),
                      "ids": pa.array([ids[order].tobytes()], pa.binary()),
-                     "block": pa.array([np.ascontiguousarray(flat[order]).tobytes()], pa.binary())})
+                     "block": pa.array([_narrow(flat[order]).tobytes()], pa.binary())})
 
 
 def tiles(rows: DataFrame, size: int, n: int) -> DataFrame:
@@ -78,8 +92,7 @@ def _tile_lists(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q = np.frombuffer(row["q_block"], np.int64).reshape(len(q_ids), -1)
-                c = np.frombuffer(row["block"], np.int64).reshape(len(c_ids), -1)
+                q, c = _wide(row["q_block"], len(q_ids), row["dim"]), _wide(row["block"], len(c_ids), row["dim"])
                 scores = _product(q, c)
                 out = [[], [], []]
                 for i, own in enumerate(q_ids):
@@ -106,7 +119,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, tile: int = TILE, q
     asked = tiles(queries.dropDuplicates(["vec_id", "vector"]), query_tile, n_queries).select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("tile"), "dim",
         F.col("ids").alias("q_ids"), F.col("block").alias("q_block"))
-    pairs = candidates.join(asked, ["tile", "dim"])
+    pairs = keyed(candidates).join(keyed(asked), ["tile", "dim"])
     lists = pairs.mapInArrow(_tile_lists(k), LISTS)
     while True:
         by = Window.partitionBy("query_id", "shard").orderBy(F.col("score").desc(), "vec_id")

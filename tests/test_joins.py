@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from noticegrid.llm import topk
 from noticegrid.operators import dedupe, similar
 from noticegrid.operators import listings as L
 from noticegrid.session import cut_lineage
@@ -64,3 +65,15 @@ def test_parts_are_several_to_a_split(spark, tmp_path):
     dealt = T.in_parts(table.where("id % 2 = 0"), spark, str(tmp_path), "orders")
     assert dealt.rdd.getNumPartitions() >= T.TASKS_PER_SPLIT * table.rdd.getNumPartitions()
     assert sorted(r.id for r in dealt.collect()) == list(range(0, 40, 2))
+
+
+def test_query_tiles_of_a_small_file_are_not_collected(small_file):
+    rows = [(i, [i / 8, -i / 4, 70_000.0 * (i % 3)]) for i in range(12)]
+    found = topk.top_k(small_file(rows, "vec_id long, embedding array<float>"), k=2, every=4, tile=3, query_tile=2)
+    want = []
+    for q, mine in ((q, v) for q, v in rows if q % 4 == 0):
+        scores = sorted((-sum(int(x * 1024) * int(y * 1024) for x, y in zip(mine, v, strict=True)), i) for i, v in rows if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:2], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == want
+    # After the run: by the sizes that the engine met the tiles would have gone by broadcast.
+    assert "Broadcast" not in plan(found)
